@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels and pointer jumping, as DataFrame rounds."""
+"""Connected components of an edge table by hooking and contraction, as DataFrame rounds."""
 
 from __future__ import annotations
 
@@ -12,19 +12,24 @@ def component_labels(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], ma
     """(id, label) for every id in edges (a, b): label is the smallest id reachable.  Direction and repeats don't matter.
 
     cut: writes a round's table where all executors can read it and reads it back (no lineage grows over the rounds).
-    Each round takes the smallest label among a vertex's neighbours, by partial aggregation, so a hub costs no more than
-    its edges; then labels jump to the labels of their labels, which halves the longest chain.
+    Each round hooks every vertex to its smallest neighbour (or itself), by partial aggregation, so a hub costs no more
+    than its edges; then the edges are contracted to the roots and made distinct, so later rounds touch only what is
+    not settled yet.  A root that hooks on itself keeps an edge to its own root.  As roots only get smaller, the last
+    label of an id is the smallest of its component.
     """
-    both = cut(edges.select("a", "b").where("a <> b").distinct())
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")))
+    def ordered(a, b) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    left = cut(edges.select(*ordered(F.col("a"), F.col("b"))).where("a <> b").distinct())
+    labels = None
     for _ in range(max_rounds):
-        seen = both.join(state.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        hooked = state.join(seen, "id").select("id", F.col("label").alias("was"), F.least("label", "other").alias("label"))
-        jump = hooked.join(state.select(F.col("id").alias("label"), F.col("label").alias("root")), "label", "left")
-        state = cut(jump.select("id", F.least("label", F.coalesce("root", "label")).alias("label"), (F.least("label", F.coalesce("root", "label")) != F.col("was")).alias("moved")))
-        done = state.where("moved").limit(1).count() == 0
-        state = state.select("id", "label")
-        if done:
-            return state
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        root = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+        labels = cut(root.select("id", F.col("root").alias("label")) if labels is None else labels.join(root.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("root", "label").alias("label")))
+        to = lambda end: root.select(F.col("id").alias(end), F.col("root").alias(f"r{end}"))
+        moved = left.join(to("a"), "a").join(to("b"), "b").select(*ordered(F.col("ra"), F.col("rb")))
+        chain = root.join(root.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select(*ordered(F.col("root"), F.col("next")))
+        left = cut(moved.unionByName(chain).where("a <> b").distinct())
+        if left.limit(1).count() == 0:
+            return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
