@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WHERE = {
     "op1_quality": "quality",
+    "op2_pii": "pii",
+    "op3_chat": "chat",
     "op4_simhash": "simhash",
     "op5_mixing": "mixing",
+    "op6_secrets": "secrets",
     "op7_tokens": "tokens",
     "op8_decontaminate": "decontaminate",
+    "op9_neighbours": "ann",
     "op10_toxicity": "toxicity",
 }
 
