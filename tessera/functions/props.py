@@ -77,7 +77,7 @@ def equals(column: str | Column, key: str, wanted: Any) -> Column:
         if w["d"] != w["d"]:
             same = same & F.isnan(d)
         else:
-            sign = F.signum(F.lit(1.0) / d) < 0
+            sign = d.cast("string").startswith("-")
             same = same & (d == F.lit(w["d"])) & (F.lit(True) if w["d"] else (sign if _bits(w["d"]) < 0 else ~sign))
     elif w["t"] != NULL:
         same = same & (c[_SLOT[w["t"]]] == F.lit(w[_SLOT[w["t"]]]))

@@ -15,25 +15,32 @@ from tessera.plans.iterate import cut, cut_observed
 
 
 def pagerank(g: PropertyGraph, scores: DataFrame, new: DataFrame, damping: float = 0.85, eps: float = 1e-6, rounds: int = 50) -> DataFrame:
-    """(id, score): only the affected vertices are pulled anew, scores are scaled to sum 1 each round, and the
-    out-neighbours of those that moved by more than eps are the next to be pulled."""
-    arcs = g.pairs()
-    degree = arcs.groupBy("src").agg(F.sum("n").alias("deg")).persist()
-    arcs = arcs.join(degree, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("share")).repartition("dst").persist()
-    n = g.vertices.count()
-    first = g.vertices.select("id").join(scores, "id", "left").join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("score", F.lit(1.0 / max(1, n))).alias("score"), F.coalesce("deg", F.lit(0)).alias("deg"))
+    """(id, score): only the affected vertices are pulled anew, and the out-neighbours of those that moved by more than
+    eps are the next to be pulled.
+
+    A change of the dangling mass shifts all scores alike, so the others get that shift without being pulled.  The
+    result is scaled to sum 1 at the end."""
+    pairs = g.pairs()
+    added = new.groupBy("src").agg(F.count("*").alias("added"))
+    degree = pairs.groupBy("src").agg(F.sum("n").alias("deg")).persist()
+    arcs = pairs.join(degree, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("share")).repartition("dst").persist()
+    n = max(1, g.vertices.count())
+    first = g.vertices.select("id").join(scores, "id", "left").join(degree.join(added, "src", "left").withColumnRenamed("src", "id"), "id", "left")
+    first = first.select("id", F.coalesce("score", F.lit(1.0 / n)).alias("score"), F.coalesce("deg", F.lit(0)).alias("deg"), F.coalesce("added", F.lit(0)).alias("added"))
     sinks, total = F.sum(F.when(F.col("deg") == 0, F.col("score")).otherwise(0.0)).alias("sinks"), F.sum("score").alias("total")
-    state, seen = cut_observed(first, sinks, total)
+    state, seen = cut_observed(first, sinks, total, F.sum(F.when(F.col("deg") == F.col("added"), F.col("score")).otherwise(0.0)).alias("old"))
+    state, lost_before = state.drop("added"), seen["old"] or 0.0
     touched = cut(new.select(F.col("src")).distinct().join(arcs, "src").select(F.col("dst").alias("id")).unionByName(new.select(F.col("dst").alias("id"))).distinct())
     for _ in range(rounds):
-        if not touched.take(1):
+        lost = seen["sinks"] or 0.0
+        if not touched.take(1) and abs(lost - lost_before) * damping / n <= eps:
             break
-        lost = (seen["sinks"] or 0.0) / (seen["total"] or 1.0)
-        scale = F.lit(1.0 / (seen["total"] or 1.0))
         into = arcs.join(touched.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        sums = into.join(state.select(F.col("id").alias("src"), (F.col("score") * scale).alias("score")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
+        sums = into.join(state.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
         pulled = touched.join(sums, "id", "left").select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("s", F.lit(0.0))).alias("new"))
-        rows = state.join(pulled, "id", "left").select("id", F.coalesce("new", F.col("score") * scale).alias("score"), "deg", F.coalesce(F.abs(F.col("new") - F.col("score") * scale), F.lit(0.0)).alias("moved"))
+        now = F.coalesce("new", F.col("score") + F.lit(damping * (lost - lost_before) / n))
+        rows = state.join(pulled, "id", "left").select("id", now.alias("score"), "deg", F.abs(now - F.col("score")).alias("moved"))
+        lost_before = lost
         state, seen = cut_observed(rows, sinks, total)
         touched = cut(arcs.join(state.where(F.col("moved") > eps).select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct())
         state = state.drop("moved")
