@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most UTF-8 bytes that a Python worker handles at once (a longer text is a chunk of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _shipped: set[str] = set()
 

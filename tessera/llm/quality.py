@@ -164,9 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
                 x = statistics(*common.utf8(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = joined.mapInArrow(vectors, "y int, x array<double>").orderBy(F.xxhash64("x"), "y").limit(max_train).toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))
-    return fit(x, got["y"].to_numpy(int))
+    got = joined.mapInArrow(vectors, "y int, x array<double>").orderBy(F.xxhash64("x"), "y").limit(max_train).toArrow()
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(NAMES)) if got.num_rows else np.zeros((0, len(NAMES)))
+    return fit(x, got.column("y").to_numpy().astype(int))
 
 
 def score(docs: DataFrame, model: Discriminant, *, key: str = "doc_id", text: str = "text") -> DataFrame:

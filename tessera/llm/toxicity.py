@@ -2,9 +2,8 @@
 
 Texts are lower-cased (A-Z and the capitals from U+00C0 to U+00DE) and runs of white space become one space, with a space at either end.  Every n-gram of
 N_GRAMS bytes falls into one of 2**BITS buckets.  Presence of a bucket in a document is its feature.  Over the labelled
-rows each bucket gets the log ratio of its smoothed document shares in the two classes; the buckets whose ratio lies
-most standard errors from 0 stay (FEATURES at most, Z_SHARE of the surest at least), and a logistic regression is fitted on presence
-times ratio.  Scoring looks the product of ratio and weight up for each n-gram of the whole text and
+rows each bucket gets the log ratio of its smoothed document shares in the two classes; the FEATURES buckets whose ratio
+lies most standard errors from 0 stay, and a logistic regression is fitted on presence times ratio.  Scoring looks the product of ratio and weight up for each n-gram of the whole text and
 counts each bucket once a document.
 
 Edge cases: null and empty texts hold no n-gram and get the intercept's score; null labels are not learnt from; where
@@ -25,14 +24,11 @@ from tessera.llm import common
 from tessera.llm.quality import training_rows
 
 #: Bound of the labelled rows that a model is fitted on: those with the smallest hashes of their ids.
-MAX_TRAIN = 20_000
+MAX_TRAIN = 6_000
 N_GRAMS = (4, 6, 8)
 BITS = 20
-FEATURES = 20_000
+FEATURES = 10_000
 MIN_DOCS = 3
-#: A ratio counts if it lies at least this share of the surest ratio's standard errors from 0: chance differences of rare
-#: n-grams would add up in long texts.
-Z_SHARE = 0.6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,18 +102,33 @@ class Linear:
         return flags
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, ridge: float = 0.1, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on sparse rows by accelerated gradient steps; both classes weigh the same."""
-    w, b = np.zeros(width), 0.0
-    n = len(y)
+def _logistic(bounds: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 300, part: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by accelerated gradient steps; both classes weigh the same.
+
+    Row i has the columns cols[bounds[i]:bounds[i + 1]], each with the column's scale as its value.  The rows are worked
+    through in parts of about `part` entries, so besides the entries' column numbers little is held."""
+    n, width = len(y), len(scale)
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + part, side="right")) - 1))
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
-    norm = np.bincount(rows, values**2, n)
-    step = 1.0 / (0.25 * (weight * (norm + 1)).sum() / n + ridge / n)
+
+    def rows(per_column: np.ndarray) -> np.ndarray:
+        return np.concatenate([common.seg_sum(per_column[cols[bounds[a] : bounds[b]]], bounds[a : b + 1] - bounds[a]) for a, b in zip(cuts, cuts[1:])])
+
+    def columns(per_row: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        for a, b in zip(cuts, cuts[1:]):
+            out += np.bincount(cols[bounds[a] : bounds[b]], np.repeat(per_row[a:b], np.diff(bounds[a : b + 1])), width)
+        return out
+
+    step = 1.0 / (0.25 * (weight * (rows(scale**2) + 1)).sum() / n + ridge / n)
+    w, b = np.zeros(width), 0.0
     v, c, at = w.copy(), b, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * v[cols], n) + c, -35, 35)))
+        p = 1 / (1 + np.exp(-np.clip(rows(scale * v) + c, -35, 35)))
         e = weight * (p - y) / n
-        new_w = v - step * (np.bincount(cols, values * e[rows], width) + ridge / n * v)
+        new_w = v - step * (scale * columns(e) + ridge / n * v)
         new_b = c - step * e.sum()
         nxt = (1 + np.sqrt(1 + 4 * at * at)) / 2
         v, c = new_w + (at - 1) / nxt * (new_w - w), new_b + (at - 1) / nxt * (new_b - b)
@@ -148,18 +159,18 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
         some = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[0][some], seen[0])), pa.array(np.append(sums[1][some], seen[1]))], ["bucket", "n0", "n1"])
 
-    got = own.mapInArrow(counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"bucket < 0 or n0 + n1 >= {MIN_DOCS}").toPandas()
-    total = got[got.bucket < 0]
-    n = [int(total[c].sum()) for c in ("n0", "n1")]
-    got = got[got.bucket >= 0].sort_values("bucket")
-    if not min(n) or not len(got):
+    table = common.stored(own.mapInArrow(counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-counts")
+    n = [int(x or 0) for x in table.where("bucket < 0").agg(F.sum("n0"), F.sum("n1")).first()]
+    log_ratio = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
+    rated = table.where(f"bucket >= 0 and n0 + n1 >= {MIN_DOCS}").withColumn("ratio", log_ratio).select("bucket", "ratio", (F.abs("ratio") / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))).alias("sure"))
+    best = rated.orderBy(F.desc("sure"), "bucket").limit(features).toArrow()
+    sure = best.column("sure").to_numpy()
+    if not min(n) or not len(sure):
         p = (n[1] + 1) / (sum(n) + 2)
         return Linear(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
-    ratio = np.log((got.n1.to_numpy() + 0.5) / (n[1] + 1)) - np.log((got.n0.to_numpy() + 0.5) / (n[0] + 1))
-    sure = np.abs(ratio) / np.sqrt(1 / (got.n1.to_numpy() + 0.5) + 1 / (got.n0.to_numpy() + 0.5))
-    best = np.lexsort((got.bucket.to_numpy(), -sure))[:features]
-    best = np.sort(best[sure[best] >= Z_SHARE * sure.max()])
-    bucket, ratio = got.bucket.to_numpy()[best], ratio[best]
+    bucket, ratio = best.column("bucket").to_numpy(), best.column("ratio").to_numpy()
+    order = np.argsort(bucket)
+    bucket, ratio = bucket[order], ratio[order]
     wanted = np.zeros(1 << BITS, bool)
     wanted[bucket] = True
 
@@ -171,12 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
                 lists = np.split(at, np.searchsorted(doc, np.arange(1, part.num_rows)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int32()))], ["y", "at"])
 
-    sample = own.mapInArrow(chosen, "y int, at array<int>").orderBy(F.xxhash64("at"), "y").limit(max_train).toPandas()
-    lists = sample["at"].tolist()
-    y = sample["y"].to_numpy(int)
-    cols = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    w, b = _logistic(of, cols, ratio[cols], y, len(bucket))
+    sample = own.mapInArrow(chosen, "y int, at array<int>").limit(max_train).toArrow()
+    lists = sample.column("at").combine_chunks()
+    y = sample.column("y").to_numpy().astype(int)
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+    w, b = _logistic(bounds, lists.flatten().to_numpy(), ratio, y)
     return Linear(bucket, w * ratio, float(b))
 
 
