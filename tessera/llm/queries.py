@@ -25,5 +25,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: getattr(import_module(f"tessera.llm.{module}"), name) for name, module in _WHERE.items()}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_CHAT = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+f AS (SELECT *, length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '<|im_end|>' || chr(10)) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+_BENCH = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+k AS MATERIALIZED (SELECT DISTINCT item, least(8, len(w)) AS n, array_to_string(w[p : p + least(8, len(w)) - 1], ' ') AS g FROM (SELECT item, w, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
+h AS MATERIALIZED (SELECT x.r, x.p, x.n, k.item FROM (SELECT r, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM k))) x JOIN k ON k.g = x.g AND k.n = x.n),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN i ON i.r = d.r LEFT JOIN t ON t.r = d.r"""
+
+
+def _secrets() -> str:
+    """Matches and the text between them by rule; a match begins after all texts and matches before it."""
+    from tessera.llm.secrets import RULES
+
+    parts = []
+    for n, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        check = {"assign": "length(g[i]) >= 6", "access": "length(m[i]) >= 20"}.get(rule.name, "true")
+        parts.append(
+            f"SELECT r, {n} AS k, '{rule.name}' AS rule, s, s + length(x) AS e FROM (SELECT r, m[i] AS x, {check} AS ok, CAST(list_sum(list_transform(p[1 : i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda y: length(y))), 0) AS BIGINT) AS s "
+            f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {2 if rule.name == 'assign' else 0}) AS g, string_split_regex(t, '{pattern}') AS p FROM d))) WHERE ok"
+        )
+    text = "string_agg(rule || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    base = "FILTER (rule IN ('assign', 'access', 'hex'))"
+    counts = ", ".join(f"count(*) FILTER (rule = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("assign", "access", "hex"))
+    return (
+        "WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents), f AS MATERIALIZED (" + " UNION ALL ".join(parts) + "), "
+        f"a AS (SELECT r, {counts}, {text} {base} AS base, {text} AS spans FROM f GROUP BY r) "
+        f"SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.r = d.r"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't express the classifiers, the iterated pattern scores of op2, XXH64, the tokenizer or a trained tree; tests
+    hold those against brute force."""
+    return {"op3_chat": _CHAT, "op6_secrets": _secrets(), "op8_decontaminate": _BENCH}
