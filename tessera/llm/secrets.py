@@ -16,6 +16,7 @@ its own below it with Spark's commit protocol, so a failed scan leaves nothing t
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,7 +45,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
     Rule("hex", 1, r"[0-9a-f]{24,}"),  # runs are maximal, so shorter ones need not be matched to be dropped
     Rule("key_block", 1, r"-----BEGIN (?:[A-Z]{2,16} )?PRIVATE KEY-----"),
-    Rule("bearer", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("bearer", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 ORDER = {r.name: i for i, r in enumerate(RULES)}
 LEDGER = "blob string, rule string, version int, spans array<struct<s:bigint,e:bigint>>"
@@ -76,15 +77,28 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, *,
     old = ledger(spark, ledger_path).join(F.broadcast(wanted), ["rule", "version"]).groupBy("blob").agg(F.collect_set("rule").alias("done"))
     todo = blobs.join(old, "blob", "left").where(F.coalesce(F.size("done"), F.lit(0)) < len(rules)).select("blob", "_at", F.coalesce("done", F.array().cast("array<string>")).alias("done"))
     todo = common.stored(todo, "secret-todo")
-    # one row of each blob that is to be scanned: the representative's key hash, and the blob itself against equal hashes
-    rows = docs.select(F.xxhash64(F.col(key)).alias("_at"), content.alias("t"))
-    rows = rows.join(todo.hint("shuffle_hash"), "_at").where(F.sha2("t", 256) == F.col("blob")).select("blob", "done", "t")
+    # texts travel to their blobs compressed; one row of each blob meets its representative's key hash
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            shrink = zstandard.ZstdCompressor(level=1).compress
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([shrink(x) for x in raw], pa.binary())], ["_at", "blob", "z"])
+
+    rows = docs.select(F.xxhash64(F.col(key)).alias("_at"), F.col(text).alias("t")).mapInArrow(packed, "_at long, blob string, z binary")
+    rows = rows.join(todo.hint("shuffle_hash"), ["blob", "_at"]).select("blob", "done", "z")
     by_name = {r.name: r for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         for batch in batches:
             out: list[tuple] = []
-            for blob, done, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            grow = zstandard.ZstdDecompressor().decompress
+            for blob, done, z in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                t = grow(z).decode()
                 out += [(blob, r.name, r.version, [{"s": a, "e": b} for a, b in find(r, t)]) for r in by_name.values() if r.name not in done]
             cols = list(zip(*out)) or [(), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
