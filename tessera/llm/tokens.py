@@ -38,7 +38,7 @@ RANK = 512
 SEGMENT = 1 << 20
 END_ID = 2
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 MAGIC = b"DAC1"
 
 #: Characters on which all versions of the tokenizer's pattern agree: no digits or spaces beyond ASCII.
@@ -111,8 +111,8 @@ class Codes:
         return value
 
     def range(self, a: int, b: int) -> np.ndarray:
-        """Ids a to b (exclusive)."""
-        parts = []
+        """Ids a to b (exclusive), as far as they go."""
+        b, parts = min(b, self.count), []
         for level, (chunk, bitmap, _) in enumerate(self.levels):
             parts.append([chunk[a:b].astype(np.uint32), None])
             if bitmap is None or a >= b:
@@ -132,7 +132,8 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    own = Tokenizer.from_file(path)
+    return own, {}, own.encode("\n", add_special_tokens=False).ids
 
 
 def _path(tokenizer: str) -> str:
@@ -144,13 +145,26 @@ def _path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def _pieces(new: list[str], own, line: list[int]) -> dict[str, bytes]:
+    """Each piece's ids.  Pieces without white space but a leading space go through the library as one text, each after a
+    line break, which is a piece of its own there; the ids are parted at its id."""
+    plain = [p for p in new if not p.isspace()]
+    found = {p: np.array(own.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in new if p.isspace()}
+    ids = np.array(own.encode("\n" + "\n".join(plain), add_special_tokens=False).ids if plain else [], "<u4")
+    at = np.flatnonzero(ids == line[0]) if len(line) == 1 else np.zeros(0, int)
+    if len(at) != len(plain):
+        return found | {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(plain, own.encode_batch_fast(plain, add_special_tokens=False))}
+    data, ends = ids.tobytes(), np.append(at[1:], len(ids))
+    return found | {p: data[4 * a + 4 : 4 * b] for p, a, b in zip(plain, at.tolist(), ends.tolist())}
+
+
 def encode(text: str, tokenizer: str) -> bytes:
     """The text's ids as little-endian unsigned 32-bit integers.
 
     The tokenizer joins no pieces, so equal pieces have equal ids: each distinct piece goes through the library once.
     Texts with characters on which pattern versions could differ, or a special token's string, go through whole.
     """
-    own, known = _tokenizer(tokenizer)
+    own, known, line = _tokenizer(tokenizer)
     if _PLAIN.search(text) or "<|" in text:
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     pieces = _PIECE.findall(text)
@@ -158,7 +172,7 @@ def encode(text: str, tokenizer: str) -> bytes:
         return b"".join(map(known.__getitem__, pieces))
     except KeyError:
         new = list(set(pieces).difference(known))
-        found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, own.encode_batch_fast(new, add_special_tokens=False))}
+        found = _pieces(new, own, line)
         if len(known) + len(found) <= CACHE:
             known.update(found)
             return b"".join(map(known.__getitem__, pieces))
