@@ -121,6 +121,14 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
 
 
+def edge_support(g: PropertyGraph) -> DataFrame:
+    """(a, b, n): common neighbours of each neighbouring pair a < b."""
+    pairs = g.undirected()
+    t = triangles(pairs).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("a"), F.col("c").alias("b")), F.struct(F.col("b").alias("a"), F.col("c").alias("b")))).alias("x"))
+    counts = t.groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+    return pairs.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def directed_triangles(g: PropertyGraph) -> DataFrame:
     """(a, b, c) of undirected triangles with a vertex that has out-edges to both others."""
     arcs = g.pairs(loops=False).select("src", "dst")

@@ -65,18 +65,20 @@ def flow(spark: SparkSession, sf_dir: str, only: str | None = None) -> PropertyG
     """user -> user of the next event in the order of (ts, event_id).
 
     Days are windows of their own and a small table of days links each day's last event to the next one's first,
-    so no window holds all events.  only: condition on events (the vertices stay all users)."""
+    so no window holds all events.  only: condition on the edges' kind and next_kind, the types of the two events (the
+    vertices stay all users)."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").withColumn("day", F.to_date("ts"))
     users = events.select(F.col("user_id").alias("id")).distinct()
     w = W.partitionBy("day").orderBy("ts", "event_id")
-    within = events.withColumn("dst", F.lead("user_id").over(w)).select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), "dst", "event_type", "ts", "day")
+    within = events.withColumn("x", F.lead(F.struct("user_id", "event_type")).over(w)).select(F.col("event_id").alias("eid"), F.col("user_id").alias("src"), F.col("event_type").alias("kind"), "x")
     order = F.struct("ts", "event_id")
-    days = events.groupBy("day").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("first"), F.max(order).alias("last"))
-    days = days.select("last.event_id", F.lead("first.user_id").over(W.orderBy("day")).alias("next"))  # one row a day
-    e = within.join(days, within.eid == days.event_id, "left").withColumn("dst", F.coalesce("dst", "next")).where("dst is not null")
+    days = events.groupBy("day").agg(F.min(F.struct("ts", "event_id", "user_id", "event_type")).alias("first"), F.max(order).alias("last"))
+    days = days.select("last.event_id", F.lead(F.struct("first.user_id", "first.event_type")).over(W.orderBy("day")).alias("next"))  # one row a day
+    e = within.join(days, within.eid == days.event_id, "left").select("src", "eid", "kind", F.coalesce("x", "next").alias("x")).where("x is not null")
+    e = e.select("src", F.col("x.user_id").alias("dst"), "eid", F.lit(1.0).alias("weight"), "kind", F.col("x.event_type").alias("next_kind"))
     if only:
         e = e.where(only)
-    return PropertyGraph(users, e.select("src", "dst", "eid", F.lit(1.0).alias("weight"), F.col("event_type").alias("kind")))
+    return PropertyGraph(users, e)
 
 
 _LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag) AS place FROM lineitem)"
@@ -86,5 +88,5 @@ SQL = {
     "supply": f"supply_v AS (SELECT s_suppkey AS id, 'supplier' AS kind FROM supplier UNION ALL SELECT p_partkey + {OTHER}, 'part' FROM part), supply_e AS (SELECT l_suppkey AS src, l_partkey + {OTHER} AS dst, l_orderkey * 64 + place AS eid, l_quantity AS weight FROM {_LINES})",
     "geo": f"geo_l AS (SELECT n_nationkey + {NATION} AS id, n_name AS name, 'nation' AS kind, n_regionkey AS dst FROM nation UNION ALL SELECT c_custkey + {CUSTOMER}, c_name, 'customer', c_nationkey + {NATION} FROM customer UNION ALL SELECT s_suppkey + {SUPPLIER}, s_name, 'supplier', s_nationkey + {NATION} FROM supplier), geo_v AS (SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name, 'region' AS kind FROM region UNION ALL SELECT CAST(id AS BIGINT), name, kind FROM geo_l), geo_e AS (SELECT CAST(id AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(id AS BIGINT) AS eid, 1.0 AS weight FROM geo_l)",
     "copurchase": f"copurchase_v AS (SELECT p_partkey AS id, p_brand AS brand FROM part), copurchase_e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey * 4096 + a.place * 64 + b.place AS eid, 1.0 AS weight FROM {_LINES} a JOIN {_LINES} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)",
-    "flow": "flow_v AS (SELECT DISTINCT user_id AS id FROM events), flow_e AS (SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_id AS eid, event_type AS kind, 1.0 AS weight FROM events) WHERE dst IS NOT NULL)",
+    "flow": "flow_v AS (SELECT DISTINCT user_id AS id FROM events), flow_e AS (SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_id AS eid, event_type AS kind, lead(event_type) OVER (ORDER BY ts, event_id) AS next_kind, 1.0 AS weight FROM events) WHERE dst IS NOT NULL)",
 }
