@@ -3,9 +3,9 @@
 Seeds: four kinds of entities found by pattern and checked (email, ip, card with Luhn, phone), leftmost and
 non-overlapping for each kind; a match that fails its check is dropped and not retried.
 
-Bootstrapping: every seed, and every other token with a digit of MIN_LENGTH characters or more, is a mention of an
-instance (its lower-cased text) in a lexical pattern (the token before it and its shape: each digit 0, each run of
-letters a).  The graph of patterns and instances is scored in rounds, by kind: a pattern's confidence is
+Bootstrapping: every seed, and every other token with a digit or @ of MIN_LENGTH characters or more, is a mention of an
+instance (its lower-cased text) in two lexical patterns: the two tokens before it, and the token before it with its
+shape (each digit 0, each run of letters a).  The graph of patterns and instances is scored in rounds, by kind: a pattern's confidence is
 the share of its mentions, one unknown mention added, that known instances account for; an instance that is no seed
 scores the mean confidence of the patterns that it occurs in.  Patterns of CONFIDENCE or more that at
 least MIN_SEEDS different seeds support then discover the tokens that occur in them.  Seeds always stay; a discovered span never overlaps
@@ -41,7 +41,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 SPAN = "array<struct<s:bigint,e:bigint,before:string,txt:string>>"
 
@@ -97,14 +97,14 @@ def seeds(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     digit = F.col("_t").rlike("[0-9]")
     needs = {"email": F.contains("_t", F.lit("@")), "ip": digit & F.contains("_t", F.lit(".")), "card": digit, "phone": digit & F.contains("_t", F.lit("+"))}
     cols = {k: F.when(needs[k], matches(F.col("_t"), PATTERNS[k], lambda m, k=k: _valid(k, m))).otherwise(_empty()) for k in KINDS}
-    cols["other"] = F.when(digit, matches(F.col("_t"), TOKEN, lambda m: F.length(m) >= MIN_LENGTH)).otherwise(_empty())
+    cols["other"] = F.when(F.col("_t").rlike("[0-9@]"), matches(F.col("_t"), TOKEN, lambda m: F.length(m) >= MIN_LENGTH)).otherwise(_empty())
     rows = rows.select(key, F.md5("_t").alias("digest"), *[c.alias(k) for k, c in cols.items()])
     base = F.concat(*[F.col(k) for k in KINDS])
     return rows.withColumn("other", F.filter("other", lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))))
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """(digest, kind or null, before, shape, instance, s, e), one row a mention and a different text."""
+    """(digest, kind or null, before, shape, instance, s, e), a row for each pattern of a mention; shape * is any shape."""
 
     def tag(name: str) -> Column:
         kind = F.lit(name if name in KINDS else None).cast("string")
@@ -113,8 +113,11 @@ def mentions(found: DataFrame) -> DataFrame:
     tagged = [tag(k) for k in (*KINDS, "other")]
     rows = found.where(" or ".join(f"size({k}) > 0" for k in (*KINDS, "other"))).select("digest", F.explode(F.concat(*tagged)).alias("x")).select("digest", "x.*")
     shape = F.regexp_replace(F.regexp_replace(F.lower("txt"), "[0-9]", "0"), r"\p{L}+", "a")
-    before = F.regexp_replace(F.lower(F.regexp_extract("before", r"(?<!\S)(\S++)\s*$", 1)), "[0-9]", "0")
-    return rows.select("digest", "kind", before.alias("before"), shape.alias("shape"), F.lower("txt").alias("instance"), "s", "e")
+    before = lambda pattern: F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract("before", pattern, 1)), "[0-9]", "0"), r"\s+", " ")
+    two, one = before(r"(?<!\S)(\S++\s++\S++)\s*$"), before(r"(?<!\S)(\S++)\s*$")
+    own = F.explode(F.array(F.struct(two.alias("before"), F.lit("*").alias("shape")), F.struct(one.alias("before"), shape.alias("shape"))))
+    rows = rows.select("digest", "kind", own.alias("p"), F.lower("txt").alias("instance"), "s", "e")
+    return rows.where("p.before <> ''").select("digest", "kind", "p.before", "p.shape", "instance", "s", "e")
 
 
 def patterns(found: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -146,7 +149,10 @@ def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rounds:
     chosen = patterns(every, rounds=rounds)
     more = every.where("kind is null").drop("kind").join(chosen, ["before", "shape"])
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    more = more.select("digest", F.struct(number.alias("k"), "s", "e").alias("x")).distinct().groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("more"))
+    best = F.max(F.struct("confidence", (-number).alias("k"))).alias("best")
+    more = more.groupBy("digest", "s", "e").agg(best).select("digest", F.struct((-F.col("best.k")).alias("k"), "s", "e").alias("x"))
+    more = more.groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("more"))
+    more = common.stored(more, "pii-more")  # so that the join below reads plain exchanges, whose hot texts are split at run time
     empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))
     return found.join(more, "digest", "left").select(key, *KINDS, F.coalesce("more", empty).alias("more"))
 

@@ -197,6 +197,7 @@ def test_pii_base_and_discovery(spark):
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(200)]
     cards = [c for c in (f"4{rng.randrange(10**15):015d}" for _ in range(400)) if luhn(c)][:12]
     wrong = "4111111111111112"
+    texts += [f"reach me at: user{k}@host{k}.example.com please" for k in range(8)] + ["reach me at: bob#at#host77 please"]
     texts += [f"pay with card: {c} now" for c in cards] + [f"his card: {wrong} was lost"]
     df = docs(spark, texts)
     rows = {r.doc_id: r for r in pii.extract(df).collect()}
@@ -206,6 +207,7 @@ def test_pii_base_and_discovery(spark):
             assert [(x.s, x.e) for x in rows[i][k]] == want, (i, k)
     last = len(texts) - 1
     assert [(x.k, x.s, x.e) for x in rows[last]["more"]] == [(3, 10, 26)]
+    assert [(x.k, x.s, x.e) for x in rows[last - len(cards) - 1]["more"]] == [(1, 13, 26)]
     assert pii.extract(df.limit(0)).count() == 0
 
 
