@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.structure import connected_components
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import cut
+from tessera.plans.iterate import Rounds, cut
 
 
 def renumbered(labels: DataFrame) -> DataFrame:
@@ -114,12 +114,13 @@ def greedy_move(g: PropertyGraph, max_iter: int = 10) -> DataFrame:
     """(id, label): each vertex that its hash picks moves to the neighbouring community of the largest edge weight,
     other than its own, if that exceeds its own; at most max_iter rounds."""
     arcs = _weights(g, "weight").where("src <> dst").persist()
-    state = cut(g.vertices.select("id", F.col("id").alias("label")))
+    rounds = Rounds()
+    state = rounds.cut(g.vertices.select("id", F.col("id").alias("label")))
     for i in range(max_iter):
         near = arcs.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
         best = near.groupBy("id").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("x")).select("id", (-F.col("x.l")).alias("to"))
         pick = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
-        state = cut(state.join(best, "id", "left").select("id", F.when(pick, F.coalesce("to", "label")).otherwise(F.col("label")).alias("label"), F.coalesce(F.col("to") != F.col("label"), F.lit(False)).alias("moved")))
+        state = rounds.cut(state.join(best, "id", "left").select("id", F.when(pick, F.coalesce("to", "label")).otherwise(F.col("label")).alias("label"), F.coalesce(F.col("to") != F.col("label"), F.lit(False)).alias("moved")))
         if not state.where("moved").take(1):
             break
         state = state.drop("moved")
@@ -130,11 +131,12 @@ def greedy_move(g: PropertyGraph, max_iter: int = 10) -> DataFrame:
 def label_propagation(g: PropertyGraph, max_iter: int = 10) -> DataFrame:
     """(id, label): all at once, the most frequent label among undirected neighbours (ties: smallest); at most max_iter rounds."""
     arcs = g.mirrored().repartition("src").persist()
-    state = cut(g.vertices.select("id", F.col("id").alias("label")))
+    rounds = Rounds()
+    state = rounds.cut(g.vertices.select("id", F.col("id").alias("label")))
     for _ in range(max_iter):
         seen = arcs.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("n"))
         best = seen.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("x")).select("id", (-F.col("x.l")).alias("to"))
-        state = cut(state.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.coalesce(F.col("to") != F.col("label"), F.lit(False)).alias("moved")))
+        state = rounds.cut(state.join(best, "id", "left").select("id", F.coalesce("to", "label").alias("label"), F.coalesce(F.col("to") != F.col("label"), F.lit(False)).alias("moved")))
         if not state.where("moved").take(1):
             break
         state = state.drop("moved")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import cut, cut_observed
+from tessera.plans.iterate import Rounds
 
 
 def _arcs(g: PropertyGraph, view: str) -> DataFrame:
@@ -42,14 +42,15 @@ def pagerank(g: PropertyGraph, iterations: int = 100, damping: float = 0.85, tol
         first = first.join(start.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(1.0 / n)))
     sinks = F.sum(F.when(F.col("deg") == 0, F.col("score")).otherwise(0.0)).alias("sinks")
     total = F.sum("score").alias("total")
-    state, seen = cut_observed(first, sinks, total)
+    rounds = Rounds()
+    state, seen = rounds.observed(first, sinks, total)
     flows = arcs.join(degree.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("share")).repartition("src").persist()
     for _ in range(iterations):
         lost = (seen["sinks"] or 0.0) if dangling == "spread" else 0.0
         sums = state.where("deg > 0").select(F.col("id").alias("src"), "score").join(flows, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
         new = F.lit((1 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
         moved = state.join(sums, "id", "left").select("id", "deg", new.alias("score"), F.abs(new - F.col("score")).alias("moved"))
-        state, seen = cut_observed(moved, sinks, total, F.max("moved").alias("most"))
+        state, seen = rounds.observed(moved, sinks, total, F.max("moved").alias("most"))
         state = state.drop("moved")
         if tol is not None and seen["most"] <= tol:
             break
@@ -78,12 +79,13 @@ def _power(g: PropertyGraph, f, iterations: int, tol: float | None, scaled: bool
     state = g.vertices.select("id", F.lit(1.0).alias("score"))
     if start is not None:
         state = g.vertices.select("id").join(start, "id", "left").select("id", F.coalesce("score", F.lit(1.0)).alias("score"))
-    state, norm = cut(state), 1.0
+    rounds = Rounds()
+    state, norm = rounds.cut(state), 1.0
     for _ in range(iterations):
         now = F.col("score") / F.lit(norm)
         sums = state.select(F.col("id").alias("src"), now.alias("score")).join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("s"))
         rows = state.join(sums, "id", "left").select("id", f(F.coalesce("s", F.lit(0.0))).alias("score"), now.alias("was"))
-        state, seen = cut_observed(rows, F.sum(F.col("score") * F.col("score")).alias("square"), F.max(F.abs(F.col("score") - F.col("was"))).alias("most"))
+        state, seen = rounds.observed(rows, F.sum(F.col("score") * F.col("score")).alias("square"), F.max(F.abs(F.col("score") - F.col("was"))).alias("most"))
         norm = (seen["square"] ** 0.5 or 1.0) if scaled and seen["square"] else 1.0
         if tol is not None:
             most = seen["most"] if not scaled else state.agg(F.max(F.abs(F.col("score") / F.lit(norm) - F.col("was")))).first()[0]

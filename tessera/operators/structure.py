@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import component_labels
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import cut
+from tessera.plans.iterate import Rounds, cut
 
 
 def connected_components(g: PropertyGraph) -> DataFrame:
@@ -19,9 +19,10 @@ def connected_components(g: PropertyGraph) -> DataFrame:
 
 def _spread(arcs: DataFrame, state: DataFrame) -> DataFrame:
     """Smallest colour that reaches each vertex along arcs (src, dst); state (id, colour) is the start."""
+    rounds = Rounds()
     while True:
         offer = arcs.join(state.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("c"))
-        state = cut(state.join(offer, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
+        state = rounds.cut(state.join(offer, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
         if not state.where("moved").take(1):
             return state.select("id", "colour")
         state = state.select("id", "colour")
@@ -96,12 +97,13 @@ def k_core(g: PropertyGraph) -> DataFrame:
     A vertex's h-index is taken over its counts by value, so a hub needs a row for each different value only."""
     arcs = g.mirrored().repartition("src").persist()
     degree = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
-    state = cut(g.vertices.select("id").join(degree, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core")))
+    rounds = Rounds()
+    state = rounds.cut(g.vertices.select("id").join(degree, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core")))
     down = W.partitionBy("id").orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0)
     while True:
         counts = state.select(F.col("id").alias("src"), F.col("core").alias("v")).join(arcs, "src").groupBy(F.col("dst").alias("id"), "v").agg(F.count("*").alias("n"))
         index = counts.select("id", F.least("v", F.sum("n").over(down)).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
-        state = cut(state.join(index, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.col("core") > F.coalesce("h", F.lit(0))).alias("moved")))
+        state = rounds.cut(state.join(index, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.col("core") > F.coalesce("h", F.lit(0))).alias("moved")))
         if not state.where("moved").take(1):
             break
         state = state.select("id", "core")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import cut
+from tessera.plans.iterate import Rounds, cut
 
 
 def _pairs(g: PropertyGraph, directed: bool) -> DataFrame:
@@ -117,13 +117,14 @@ def sssp(g: PropertyGraph, sources: DataFrame, weight: str = "weight", directed:
     else:
         best = cut(start.select("id", F.col("dist").cast("double").alias("dist"), "parent"))
         moved = best.join(sources.select("id").distinct(), "id", "left_semi")
+    rounds = Rounds()
     for _ in range(max_rounds):
         offer = moved.select(F.col("id").alias("src"), "dist").join(own, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("src"))).alias("x"))
         joined = offer.join(best, "id", "left").where(F.col("dist").isNull() | (F.col("x.d") < F.col("dist")))
         moved = cut(joined.select("id", F.col("x.d").alias("dist"), F.col("x.src").alias("parent")))
         if not moved.take(1):
             break
-        best = cut(best.join(moved.select("id"), "id", "left_anti").unionByName(moved))
+        best = rounds.cut(best.join(moved.select("id"), "id", "left_anti").unionByName(moved))
     own.unpersist()
     return best
 

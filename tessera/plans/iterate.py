@@ -29,3 +29,25 @@ def cut_observed(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
     """cut, and the metrics (aggregates with aliases) gathered by the same job."""
     seen = Observation(uuid.uuid4().hex)
     return cut(df.observe(seen, *metrics)), seen.get
+
+
+class Rounds:
+    """The states of one loop: writing a state deletes the one before it, so a loop holds two at most.
+
+    Only for states that nothing but the next round reads."""
+
+    def __init__(self) -> None:
+        self._path: str | None = None
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        return self.observed(df)[0]
+
+    def observed(self, df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+        spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
+        seen = Observation(uuid.uuid4().hex) if metrics else None
+        (df.observe(seen, *metrics) if seen is not None else df).write.parquet(path)
+        if self._path is not None:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        self._path = path
+        return spark.read.schema(df.schema).parquet(path), seen.get if seen is not None else {}
