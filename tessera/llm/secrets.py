@@ -109,7 +109,8 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, *,
     number = F.array_position(F.array(*[F.lit(r.name) for r in rules]), F.col("rule"))
     found = ledger(spark, ledger_path).join(F.broadcast(wanted), ["rule", "version"]).where("size(spans) > 0").join(blobs.select("blob"), "blob", "left_semi")
     found = found.select("blob", "rule", number.alias("n"), F.explode("spans").alias("x")).select("blob", F.struct("x.s", "n", "x.e", "rule").alias("f"))
-    found = found.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings"))
+    # stored, so that the join below reads plain exchanges, whose hot blobs are split at run time
+    found = common.stored(found.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings")), "secret-findings")
     empty = F.array().cast("array<struct<s:bigint,n:bigint,e:bigint,rule:string>>")
     return versions.join(found, "blob", "left").select(key, "blob", F.coalesce("findings", empty).alias("findings"))
 
