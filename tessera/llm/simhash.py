@@ -198,7 +198,9 @@ def components(prints: DataFrame, *, key: str = "doc_id", radius: int = RADIUS,
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = RADIUS, halves: bool = True) -> DataFrame:
     """(key, fp, component_id) of every row of docs."""
     prints = common.stored(fingerprints(docs, key=key, text=text), "simhash-doc")
-    return prints.join(components(prints, key=key, radius=radius, halves=halves), "fp").select(key, "fp", "component_id")
+    # stored, so that the join reads plain exchanges, whose hot fingerprints are split at run time
+    found = common.stored(components(prints, key=key, radius=radius, halves=halves), "simhash-components")
+    return prints.join(found, "fp").select(key, "fp", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
