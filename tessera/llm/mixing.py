@@ -4,7 +4,9 @@ A classifier learnt from a labelled table (naive Bayes over byte pairs, its evid
 document a posterior over the domains.  Rates then minimise the squares of the relative gaps between expected domain
 totals, sum over documents of rate x tokens x posterior, and the targets, over rates of `least` or more, by projected
 gradient steps in the metric of the documents' token counts.  A step needs only one gap for each domain, so it is one
-distributed aggregation of the stored posteriors; the rates are never collected.  A rate becomes floor(rate) copies
+distributed aggregation of the stored posteriors; the rates are never collected.  The projection is lazy: the steps add up
+in one number for each domain, and a rate is 1 less their sum weighted by its posterior, cut to its bounds, so a round's
+plan doesn't grow.  A rate becomes floor(rate) copies
 and one more with the probability of the rest, drawn by a hash of the id.
 
 The targets are shares; the total that they are shares of is the least at which no domain would have to shrink, so a
@@ -92,7 +94,7 @@ def train(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
 
     got = own.mapInArrow(count, "d string, pair long, n long").groupBy("d", "pair").agg(F.sum("n").alias("n"))
     top = got.where(f"pair = {1 << 16}").orderBy(F.desc("n"), "d").limit(MAX_DOMAINS)
-    got = got.join(F.broadcast(top.select("d")), "d").toPandas()
+    got = got.join(F.broadcast(top.select("d")), "d").toArrow().to_pandas()
     names = sorted(set(got["d"]))
     if not names:
         return Domains(["all"], np.zeros((1 << 16, 1)), np.zeros(1))
@@ -143,20 +145,17 @@ def fit_rates(table: DataFrame, names: list[str], targets: dict[str, float], *,
         return lambda n, posterior: F.lit(1.0)
     goal = np.where(used, weight * (have[used] / weight[used]).max(), 1.0)
     step = 1.0 / (have[used] / goal[used]).max()
-    moves: list[np.ndarray] = []
+    moved = np.zeros(len(names))
 
     def rate(posterior: Column) -> Column:
         r = F.lit(1.0)
-        for move in moves:
-            gap = F.lit(0.0)
-            for k in range(len(names)):
-                gap = gap + F.element_at(posterior, k + 1) * F.lit(float(move[k]))
-            r = F.least(F.lit(most), F.greatest(F.lit(least), r - gap))
-        return r
+        for k in range(len(names)):
+            r = r - F.element_at(posterior, k + 1) * F.lit(float(moved[k]))
+        return F.least(F.lit(most), F.greatest(F.lit(least), r))
 
     gap = np.where(used, have / goal - 1, 0.0)
     for _ in range(rounds):
-        moves.append(np.round(step * gap, 12))
+        moved += np.round(step * gap, 12)
         new = np.where(used, totals(rate(F.col("posterior"))) / goal - 1, 0.0)
         small = np.abs(new).max() < tol or np.abs(new - gap).max() < tol / 100
         gap = new
