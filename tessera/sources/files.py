@@ -127,15 +127,99 @@ def unpack_graph(data: bytes) -> tuple[list, list]:
     return [(r.take(">Q")[0], r.props()) for _ in range(v)], [(*r.take(">QQd"), r.props()) for _ in range(e)]
 
 
+# fixed values of the block form, all big-endian
+BLOCK_MAGIC = b"AXEB"
+BLOCK_VERSION = 2
+BLOCK_HEADER = ">4sHHIQ4x"
+BLOCK_EDGES = 32
+NO_BLOCK = (1 << 32) - 1
+
+
+def pack_blocks(vertices: list[tuple[int, dict]], edges: list[tuple[int, int, float, dict]]) -> bytes:
+    """The block form of a small graph: ids, then forwards and backwards a chain of 32-edge blocks for each vertex (next
+    block, count, places of the neighbours), vertex properties, and every edge's weight (single precision) and properties."""
+    order = {v: k for k, (v, _) in enumerate(vertices)}
+
+    def chains(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
+        own: list[list[int]] = [[] for _ in vertices]
+        for a, b in pairs:
+            own[order[a]].append(order[b])
+        heads, counts, blocks = [], [], []
+        for row in own:
+            parts = [row[i : i + BLOCK_EDGES] for i in range(0, len(row), BLOCK_EDGES)]
+            first = len(blocks) // (BLOCK_EDGES + 2)
+            heads.append(first if parts else NO_BLOCK)
+            counts.append(len(parts))
+            for i, part in enumerate(parts):
+                blocks += [first + i + 1 if i + 1 < len(parts) else NO_BLOCK, len(part), *part, *[0] * (BLOCK_EDGES - len(part))]
+        return heads, counts, blocks
+
+    def row(form: str, values: list[int]) -> bytes:
+        return struct.pack(f">I{len(values)}{form}", len(values), *values)
+
+    def own(values: dict) -> bytes:
+        keys = [(k.encode(), v) for k, v in values.items()]
+        return struct.pack(">H", len(keys)) + b"".join(struct.pack(">H", len(k)) + k + _pack_value(v) for k, v in keys)
+
+    parts = [struct.pack(BLOCK_HEADER, BLOCK_MAGIC, BLOCK_VERSION, BLOCK_EDGES, len(vertices), len(edges)), row("Q", list(order))]
+    for pairs in ([(a, b) for a, b, _, _ in edges], [(b, a) for a, b, _, _ in edges]):
+        parts += [row("I", x) for x in chains(pairs)]
+    parts += [struct.pack(">I", len(vertices)), *(own(p) for _, p in vertices)]
+    parts += [struct.pack(">I", len(edges)), *(struct.pack(">QQf", a, b, w) + own(p) for a, b, w, p in edges)]
+    return b"".join(parts)
+
+
+def unpack_blocks(data: bytes) -> tuple[list, list]:
+    """Version 2 follows each vertex's chain; in version 1 a block's first number is its owner.  An edge takes the next weight
+    and properties that its pair has, weight 1 if there are none left."""
+    r = _Reader(data)
+    magic, version, size, v, _ = r.take(BLOCK_HEADER)
+    if magic != BLOCK_MAGIC or version not in (1, BLOCK_VERSION) or size != BLOCK_EDGES:
+        raise ValueError("not a block file of a known version")
+    ids, heads, _, blocks, _, _, _ = (r.take(f">{r.take('>I')[0]}{form}") for form in "QIIIIII")
+    step = size + 2
+    pairs: list[tuple[int, int]] = []
+    if version == 1:
+        pairs = [(blocks[i], x) for i in range(0, len(blocks), step) for x in blocks[i + 2 : i + 2 + blocks[i + 1]]]
+    else:
+        for k, at in enumerate(heads):
+            for _ in range(len(blocks) // step + 1):  # a broken chain can't go round for ever
+                if at == NO_BLOCK or at * step >= len(blocks):
+                    break
+                pairs += [(k, x) for x in blocks[at * step + 2 : at * step + 2 + blocks[at * step + 1]]]
+                at = blocks[at * step]
+
+    def own() -> dict:
+        out = {}
+        for _ in range(r.take(">H")[0]):
+            n = r.take(">H")[0]
+            r.at += n
+            key = bytes(data[r.at - n : r.at]).decode()
+            out[key] = r.value()
+        return out
+
+    props = [own() for _ in range(r.take(">I")[0])]
+    more: dict[tuple[int, int], list] = {}
+    for _ in range(r.take(">I")[0]):
+        a, b, w = r.take(">QQf")
+        more.setdefault((a, b), []).append((w, own()))
+    edges = []
+    for a, b in ((ids[a], ids[b]) for a, b in pairs):
+        w, p = more[a, b].pop(0) if more.get((a, b)) else (1.0, {})
+        edges.append((a, b, w, p))
+    return [(i, props[k] if k < len(props) else {}) for k, i in enumerate(ids[:v]) if i != (1 << 64) - 1], edges
+
+
 def read_packed(spark: SparkSession, path: str) -> PropertyGraph:
-    """Files of the binary form, each parsed by one task; several files make one graph (a later duplicate pair is parallel)."""
+    """Files of the compact or the block form, told by their first bytes, each parsed by one task; several files make one
+    graph (a later duplicate pair is parallel)."""
 
     def parse(batches):
         import pandas as pd
 
         for pdf in batches:
             for data in pdf["content"]:
-                v, e = unpack_graph(bytes(data))
+                v, e = (unpack_blocks if bytes(data[:4]) == BLOCK_MAGIC else unpack_graph)(bytes(data))
                 rows = [("v", i, None, None, P.to_json(p)) for i, p in v] + [("e", a, b, w, P.to_json(p)) for a, b, w, p in e]
                 yield pd.DataFrame(rows, columns=["kind", "a", "b", "w", "props"])
 

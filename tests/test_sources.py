@@ -47,6 +47,26 @@ def test_packed_graph(spark, tmp_path):
         files.unpack_graph(data[:4] + b"\x00\x09" + data[6:])
 
 
+def test_block_files(spark, tmp_path):
+    v = [(7, P.props({"s": "é", "n": None})), (3, {}), (5, P.props({"b": False}))]
+    e = [(7, 3, 0.5, P.props({"k": 1})), (3, 7, 1.0, {}), (7, 3, 0.25, {})] + [(7, 5, 1.0, {})] * 70
+    data = files.pack_blocks(v, e)
+    back_v, back_e = files.unpack_blocks(data)
+    assert back_v == v and sorted(map(str, back_e)) == sorted(map(str, e))
+    assert [x[2] for x in back_e if x[:2] == (7, 3)] == [0.5, 0.25]
+    (tmp_path / "g.axe").write_bytes(data)
+    g = files.read_packed(spark, str(tmp_path / "g.axe"))
+    assert (g.vertices.count(), g.edges.count()) == (3, 73)
+    with pytest.raises(ValueError):
+        files.unpack_blocks(data[:4] + b"\x00\x09" + data[6:])
+    old = bytearray(data[:4] + b"\x00\x01" + data[6:])
+    heads = 24 + 4 + 8 * 3
+    blocks = heads + (4 + 4 * 3) * 2 + 4
+    for i, owner in enumerate((0, 0, 0, 1)):  # the first number of a block was its owner once
+        old[blocks + i * 34 * 4 : blocks + i * 34 * 4 + 4] = owner.to_bytes(4, "big")
+    assert sorted(map(str, files.unpack_blocks(bytes(old))[1])) == sorted(map(str, e))
+
+
 def test_dot_and_snapshot(spark):
     v = spark.createDataFrame([(1, 'A"x', None), (2, None, "")], "id long, name string, sid string")
     e = spark.createDataFrame([(1, 2, 0, 1.0), (2, 1, 1, 0.5)], "src long, dst long, eid long, weight double")
