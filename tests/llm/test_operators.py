@@ -28,9 +28,16 @@ def words_of(rng, n, vocabulary=60):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
-def test_simhash_matches_brute_force(spark):
+def prints(t):
     from xxhash import xxh64_intdigest
 
+    ws = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+    sh = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))] if ws else []
+    h = [xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_matches_brute_force(spark):
     from tessera.llm import simhash
 
     rng = random.Random(4)
@@ -44,12 +51,6 @@ def test_simhash_matches_brute_force(spark):
             texts.append(" ".join(x))
     df = docs(spark, texts)
 
-    def prints(t):
-        ws = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
-        sh = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))] if ws else []
-        h = [xxh64_intdigest(s.encode(), 42) for s in sh]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
     fp = {i: prints(t) for i, t in enumerate(texts)}
     comp = {i: i for i in fp}
     changed = True
@@ -383,6 +384,40 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """No row is labelled toxic, so the first stage keeps all; what the others keep is worked out here."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as c
+
+    rng = random.Random(12)
+    items = [" ".join(words_of(rng, 15, 400)) for _ in range(4)]
+    texts = [" ".join(words_of(rng, 60, 900)) for _ in range(40)]
+    texts += [texts[3], texts[5], texts[5], "x " + items[0] + " y", " ".join(items[1].split()[:9]), " ".join(items[2].split()[:7])]
+    texts += [texts[k].replace(" w1", " W1") + " " for k in range(4)]
+    df = docs(spark, texts).select(*c.COLUMNS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    fp = [prints(t) for t in texts]
+    comp = list(range(len(texts)))
+    for _ in range(len(texts)):
+        comp = [min(comp[j] for j in range(len(texts)) if (fp[i] ^ fp[j]).bit_count() <= 4) for i in range(len(texts))]
+    windows = {tuple(t.split()[a : a + 8]) for t in items for a in range(len(t.split()) - 7)}
+    clean = [not any(tuple(lower(t).split()[a : a + 8]) in windows for a in range(len(t.split()) - 7)) for t in texts]
+    want = {i for i in range(len(texts)) if comp[i] == i and clean[i]}
+    assert 0 < len(want) < len(texts) - 5
+    rows = c.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == want
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        ids = [*own.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
