@@ -20,6 +20,8 @@ from tessera.llm import toxicity as tox
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
+#: Ids (8 bytes each) that may be sent to every executor.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = common.stored(simhash.near_duplicates(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "stage-kept")
-    rows = docs.select(*COLUMNS).join(groups.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if groups.where("_n > 1").limit(1).count() else rows
+    groups = common.stored(simhash.near_duplicates(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")).groupBy("doc_id").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")), "stage-groups")
+    # the ids that go are far fewer than those that stay: counted, so few enough travel to the texts, else texts to them
+    gone = groups.where("not stays").select(F.col("doc_id").alias("_gone"))
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    rows = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = groups.where("stays and n > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id"]) if repeated else rows
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
