@@ -38,7 +38,7 @@ RANK = 512
 SEGMENT = 1 << 20
 END_ID = 2
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 800_000
 MAGIC = b"DAC1"
 
 #: Characters on which all versions of the tokenizer's pattern agree: no digits or spaces beyond ASCII.
