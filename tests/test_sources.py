@@ -54,8 +54,8 @@ def test_block_files(spark, tmp_path):
     back_v, back_e = files.unpack_blocks(data)
     assert back_v == v and sorted(map(str, back_e)) == sorted(map(str, e))
     assert [x[2] for x in back_e if x[:2] == (7, 3)] == [0.5, 0.25]
-    (tmp_path / "g.axe").write_bytes(data)
-    g = files.read_packed(spark, str(tmp_path / "g.axe"))
+    (tmp_path / "g.blocks").write_bytes(data)
+    g = files.read_packed(spark, str(tmp_path / "g.blocks"))
     assert (g.vertices.count(), g.edges.count()) == (3, 73)
     with pytest.raises(ValueError):
         files.unpack_blocks(data[:4] + b"\x00\x09" + data[6:])
