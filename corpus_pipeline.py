@@ -1,13 +1,13 @@
 """From raw documents to token files: five stages, each over all that its predecessor kept.
 
 toxicity          drops documents whose score reaches 0.7
-near_duplicates   keeps the smallest doc_id of each SimHash component (equal ids: one row)
+near_duplicates   keeps one document of each SimHash component: the smallest doc_id, then the smallest hash of the text
 decontamination   drops documents that hold a window of any benchmark item
 mixing            repeats documents by their fitted rates, all at least once
 tokens            writes the token files and returns a row for each document in them
 
-A document with a null id or text goes through every stage like others; documents with equal ids are one document to
-near_duplicates.  ORACLE_SQL is None: the classifiers, XXH64 votes and the tokenizer can't be expressed in SQL.
+A document with a null id or text goes through every stage like others.  To near_duplicates a document is an id with a text:
+different texts under one id, or without one, are different documents (a null id comes after all others).  ORACLE_SQL is None: the classifiers, XXH64 votes and the tokenizer can't be expressed in SQL.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from tessera.llm import toxicity as tox
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
-#: Ids (8 bytes each) that may be sent to every executor.
+#: Keys of documents (id and hash, 16 bytes each) that may be sent to every executor.
 MAX_BROADCAST_IDS = 1_000_000
 
 
@@ -30,13 +30,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = common.stored(simhash.near_duplicates(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")).groupBy("doc_id").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")), "stage-groups")
-    # the ids that go are far fewer than those that stay: counted, so few enough travel to the texts, else texts to them
-    gone = groups.where("not stays").select(F.col("doc_id").alias("_gone"))
+    who = F.struct(F.col("doc_id").isNull().alias("blank"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = simhash.near_duplicates(docs.select(who.alias("who"), "text"), key="who")  # component_id: the component's smallest who
+    stays = F.col("who").eqNullSafe(F.col("component_id"))
+    groups = common.stored(found.select("who.id", "who.hash", stays.alias("stays")).groupBy("id", "hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")), "stage-groups")
+    # the keys that go are far fewer than those that stay: counted, so few enough travel to the texts, else texts to them
+    gone = groups.where("not stays").select(F.col("id").alias("_id"), F.col("hash").alias("_gone"))
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    rows = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
+    rows = rows.join(gone, (F.col("_hash") == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     repeated = groups.where("stays and n > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    return (rows.dropDuplicates(["doc_id", "_hash"]) if repeated else rows).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
