@@ -1,16 +1,19 @@
 """Mixing sources to target weights with soft domain membership.
 
 A classifier learnt from a labelled table (naive Bayes over byte pairs, its evidence tempered to EVIDENCE pairs) gives every
-document a posterior over the domains.  Rates then minimise the squares of the relative gaps between expected domain
-totals, sum over documents of rate x tokens x posterior, and the targets, over rates of `least` or more, by projected
-gradient steps in the metric of the documents' token counts.  A step needs only one gap for each domain, so it is one
+document a posterior over the domains.  Rates then minimise the squares of the gaps between expected domain totals, sum
+over documents of rate x tokens x posterior, and the targets, over rates of `least` or more, by projected
+gradient steps in the metric of the documents' token counts.  A gap's square is divided by what the domain had, so its
+step is its gap by that total: a pure domain is there in one step however rare it is, and no step goes too far.  A step needs only one gap for each domain, so it is one
 distributed aggregation of the stored posteriors; the rates are never collected.  The projection is lazy: the steps add up
 in one number for each domain, and a rate is 1 less their sum weighted by its posterior, cut to its bounds, so a round's
 plan doesn't grow.  A rate becomes floor(rate) copies
 and one more with the probability of the rest, drawn by a hash of the id.
 
 The targets are shares; the total that they are shares of is the least at which no domain would have to shrink, so a
-corpus is filled up rather than thinned out.
+corpus is filled up rather than thinned out.  Rates have no upper bound unless `most` gives one.  Steps go on until all relative
+gaps are below `tol`; gaps that stay (rounds used up, or no rates that could close them) and targets without documents
+are reported by a warning and in the fitted function's `gaps`.
 
 Edge cases: null and empty texts have no tokens and flat posteriors; unlabelled rows and null labels aren't learnt from; domains
 beyond the targets' keys keep target zero only if they never occur among the labels; with no usable label every rate
@@ -19,6 +22,7 @@ is 1.  Repeated rows get the same rate.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +40,7 @@ MAX_TRAIN = 5_000
 #: Bound of the number of domains: the most common ones; the rest of the labels isn't learnt from.
 MAX_DOMAINS = 64
 EVIDENCE = 40.0
-ROUNDS = 60
+ROUNDS = 200
 TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
@@ -129,8 +133,8 @@ def posteriors(docs: DataFrame, model: Domains, *, text: str = "text", to: str =
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, EXTRA)]))
 
 
-def fit_rates(table: DataFrame, names: list[str], targets: dict[str, float], *, least: float = 0.0, most: float = 16.0, rounds: int = ROUNDS, tol: float = 1e-4):
-    """A function of the columns (n_tokens, posterior) that gives the rate.  table has these two columns and is stored."""
+def fit_rates(table: DataFrame, names: list[str], targets: dict[str, float], *, least: float = 0.0, most: float | None = None, rounds: int = ROUNDS, tol: float = 1e-4):
+    """A function of the columns (n_tokens, posterior) that gives the rate; its `gaps`: the relative gap left for each target.  table has these two columns and is stored."""
     weight = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
     weight = weight / weight.sum() if weight.sum() > 0 else np.full(len(names), 1 / len(names))
     p = [F.element_at("posterior", k + 1) for k in range(len(names))]
@@ -141,27 +145,37 @@ def fit_rates(table: DataFrame, names: list[str], targets: dict[str, float], *,
 
     have = totals(F.lit(1.0))
     used = (weight > 0) & (have > 0)
+    left = {n: -1.0 for n, w in targets.items() if w > 0 and not any(used[k] for k in range(len(names)) if names[k] == n)}
     if not used.any():
-        return lambda n, posterior: F.lit(1.0)
+        return _reported(lambda n, posterior: F.lit(1.0), left, tol)
     goal = np.where(used, weight * (have[used] / weight[used]).max(), 1.0)
-    step = 1.0 / (have[used] / goal[used]).max()
+    step = np.where(used, goal / np.where(used, have, 1.0), 0.0)
     moved = np.zeros(len(names))
 
     def rate(posterior: Column) -> Column:
         r = F.lit(1.0)
         for k in range(len(names)):
             r = r - F.element_at(posterior, k + 1) * F.lit(float(moved[k]))
-        return F.least(F.lit(most), F.greatest(F.lit(least), r))
+        r = F.greatest(F.lit(least), r)
+        return r if most is None else F.least(F.lit(float(most)), r)
 
     gap = np.where(used, have / goal - 1, 0.0)
-    for _ in range(rounds):
-        moved += np.round(step * gap, 12)
+    for _ in range(rounds if np.abs(gap).max() >= tol else 0):
+        moved += step * gap
         new = np.where(used, totals(rate(F.col("posterior"))) / goal - 1, 0.0)
         small = np.abs(new).max() < tol or np.abs(new - gap).max() < tol / 100
         gap = new
         if small:
             break
-    return lambda n, posterior: rate(posterior)
+    return _reported(lambda n, posterior: rate(posterior), left | {names[k]: float(gap[k]) for k in np.flatnonzero(used)}, tol)
+
+
+def _reported(rate, gaps: dict[str, float], tol: float):
+    open_ = {n: round(g, 6) for n, g in gaps.items() if abs(g) >= tol}
+    if open_:
+        warnings.warn(f"mixing: relative gaps to the targets that are left: {open_}", stacklevel=3)
+    rate.gaps = gaps
+    return rate
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -170,13 +184,13 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0, most: float | None = None) -> DataFrame:
     """docs with n_tokens, domain_posterior (name:share of each domain), rate and copies added (such columns are replaced)."""
     model = train(docs, labelled, key=key, text=text, domain=domain)
     docs = docs.drop("n_tokens", "domain_posterior", "rate", "copies")
     scored = posteriors(docs, model, text=text)
     table = common.stored(posteriors(docs.select(text), model, text=text).select("_mix.n_tokens", "_mix.posterior"), "mixing")
-    rate = fit_rates(table, model.names, targets or TARGETS, least=least)
+    rate = fit_rates(table, model.names, targets or TARGETS, least=least, most=most)
     shares = F.concat_ws(",", *[F.concat(F.lit(f"{n}:"), F.format_number(F.element_at("_mix.posterior", k + 1), 6)) for k, n in enumerate(model.names)])
     scored = scored.withColumn("rate", rate(F.col("_mix.n_tokens"), F.col("_mix.posterior")))
     return scored.withColumns({"n_tokens": F.col("_mix.n_tokens"), "domain_posterior": shares, "copies": copies(F.col("rate"), F.col(key))}).drop("_mix")
