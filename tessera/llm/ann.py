@@ -6,14 +6,15 @@ largest products, and the triangle inequality holds.
 
 A node splits its vectors at the median distance to a vantage point and keeps the range of distances on either side.
 For a query at distance d from the vantage point no vector of a side is closer than max(d - high, low - d).  The bound of a leaf is
-the largest on its path; leaves are visited from the smallest bound on, and one is skipped where its bound is at least
+the largest on its path; leaves are visited from the smallest bound on, and one is skipped where its bound is more than
 `factor` times the distance of the k-th best so far.  Factor 1 restores exact search; a smaller one prunes more.
 
 Shards hold about SHARD rows each.  Queries are packed into blocks of about BLOCK; each block meets each
 shard's tree once, as a join on the shard's number, and yields at most k rows a query, from which a window takes the best k.
 
 Equal vectors are one point of the tree with all their ids (ascending); k + 1 ids of a point are the most that one query's
-answer can need.  Candidates are ranked by scores recomputed from the original components, in double precision.
+answer can need.  Candidates are ranked by scores recomputed from the original components, in double precision.  Where more
+points than are kept lie within rounding of the last score, a query takes them all from its leaves again, so ids settle every tie.
 
 Edge cases: rows with a null id or vector, a null, NaN or infinite component or only zeros take no part; if an id repeats,
 its smallest vector counts; vectors of different lengths never meet; ties go to the smaller id; a query
@@ -98,6 +99,8 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, k: int,
     points, rows, steps, top = tree["points"], tree["rows"], tree["steps"], float(tree["top"][0])
     n, keep = len(q), k + 1 + SLACK
     square = (q**2).sum(axis=1) + top**2
+    size = np.sqrt((q**2).sum(axis=1)) * top
+    near, slack = 8 * q.shape[1] * np.finfo(float).eps * size, 1e-7 * np.sqrt(square)  # rounding of products; of distances, as roots of differences
     bound = np.zeros((n, len(steps)))
     used = np.unique(steps[:, :, 0].astype(int))
     used = used[used >= 0]
@@ -108,13 +111,15 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, k: int,
             for at, low, high in steps[leaf]:
                 if at >= 0:
                     d = far[:, np.searchsorted(used, int(at))]
-                    bound[:, leaf] = np.maximum(bound[:, leaf], np.maximum(d - high - 1e-9, low - d - 1e-9))
+                    bound[:, leaf] = np.maximum(bound[:, leaf], np.maximum(d - high, low - d) - slack)
     best = np.full((n, keep), -np.inf)
     where = np.full((n, keep), -1)
+    seen = np.zeros((n, len(steps)), bool)
     starts = np.concatenate([[0], tree["ends"][:-1]])
 
     def visit(leaf: int, who: np.ndarray) -> None:
         own = rows[starts[leaf] : tree["ends"][leaf]]
+        seen[who, leaf] = True
         s = np.hstack([best[who], q[who] @ points[own].T])
         w = np.hstack([where[who], np.broadcast_to(own, (len(who), len(own)))])
         pick = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if s.shape[1] > keep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
@@ -126,14 +131,19 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, k: int,
         kth = -np.partition(-best, k, axis=1)[:, k]  # one more than k: a query's own vector may be among them
         reach = np.sqrt(np.maximum(square - 2 * kth, 0)) * factor
         leaf = order[:, turn]
-        live = bound[np.arange(n), leaf] < np.where(np.isfinite(kth), reach, np.inf)
+        live = bound[np.arange(n), leaf] <= np.where(np.isfinite(kth), reach, np.inf)
         if not live.any():
             break
         for x in np.unique(leaf[live]):
             visit(int(x), np.flatnonzero(live & (leaf == x)))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    kth = -np.partition(-best, k, axis=1)[:, k]
+    crowded = (best.min(axis=1) >= kth - near) & np.isfinite(kth)  # points left out may tie with the last one
     for i in range(n):
         found = where[i][where[i] >= 0]
+        if crowded[i]:
+            found = np.concatenate([rows[starts[x] : tree["ends"][x]] for x in np.flatnonzero(seen[i])])
+            found = found[points[found] @ q[i] >= kth[i] - near[i]]
         score = (points[found] * q[i]).sum(axis=1)
         ids = [tree["ids"][tree["bounds"][p] : min(tree["bounds"][p + 1], tree["bounds"][p] + k + 1)] for p in found]
         score = np.repeat(score, [len(x) for x in ids])
