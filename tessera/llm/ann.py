@@ -8,6 +8,9 @@ A node splits its vectors at the median distance to a vantage point and keeps th
 For a query at distance d from the vantage point no vector of a side is closer than max(d - high, low - d).  The bound of a leaf is
 the largest on its path; leaves are visited from the smallest bound on, and one is skipped where its bound is more than
 `factor` times the distance of the k-th best so far.  Factor 1 restores exact search; a smaller one prunes more.
+How small it may be depends on the vectors: with unequal norms queries lie far from all lifted points and bounds are large.
+So unless it is given, it is measured for each length of vectors: up to SAMPLE queries are also answered by reading every leaf,
+and the smallest of FACTORS counts by which the trees find at least GOAL of those neighbours; else 1.
 
 Shards hold about SHARD rows each.  Queries are packed into blocks of about BLOCK; each block meets each
 shard's tree once, as a join on the shard's number, and yields at most k rows a query, from which a window takes the best k.
@@ -38,8 +41,10 @@ K = 20
 SHARD = 8_192
 BLOCK = 1_024
 LEAF = 256
-#: Recall at 20 on 51,282 random unit vectors of 64 components: 0.9998 (at 0.2: 0.997).
-FACTOR = 0.25
+#: Recall at 20 by 0.25 on 51,282 random unit vectors of 64 components: 0.9998 (at 0.2: 0.997).
+FACTORS = (0.25, 0.4, 0.6, 0.8)
+GOAL = 0.99
+SAMPLE = 100
 #: Candidates beyond k that are kept for the exact ranking, against rounding in the leaves' products.
 SLACK = 12
 
@@ -94,8 +99,8 @@ def build(ids: np.ndarray, x: np.ndarray, top: float, leaf: int = LEAF) -> dict[
     return {"points": points, "lift": lifted[:, -1], "rows": rows, "ends": np.cumsum([len(r) for r, _ in leaves]), "steps": steps, "ids": ids[by], "bounds": bounds, "top": np.array([top])}
 
 
-def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, ids, scores): the best k of this tree for each query, its own id left out."""
+def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, k: int, factor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores): the best k of this tree for each query, its own id left out.  Without a factor every leaf is read."""
     points, rows, steps, top = tree["points"], tree["rows"], tree["steps"], float(tree["top"][0])
     n, keep = len(q), k + 1 + SLACK
     square = (q**2).sum(axis=1) + top**2
@@ -129,7 +134,7 @@ def search(tree: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray, k: int,
     order = np.argsort(bound, axis=1, kind="stable")
     for turn in range(len(steps)):  # each query's next leaf by bound; queries that meet in a leaf go together
         kth = -np.partition(-best, k, axis=1)[:, k]  # one more than k: a query's own vector may be among them
-        reach = np.sqrt(np.maximum(square - 2 * kth, 0)) * factor
+        reach = np.full(n, np.inf) if factor is None else np.sqrt(np.maximum(square - 2 * kth, 0)) * factor
         leaf = order[:, turn]
         live = bound[np.arange(n), leaf] <= np.where(np.isfinite(kth), reach, np.inf)
         if not live.any():
@@ -169,10 +174,35 @@ def index(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     return parts.select("dim", "shard", "id", "v", "m").groupBy("dim", "shard").applyInArrow(tree, "dim int, shard long, tree binary")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+def factors(trees: DataFrame, queries: DataFrame, k: int) -> dict[int, float]:
+    """The factor to use by length of vectors, from the recall on a sample of queries."""
+    own = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("id", F.lit(2)), "id"))
+    asked = queries.withColumn("_n", own).where(F.col("_n") <= SAMPLE).groupBy("dim").agg(F.collect_list("id").alias("qid"), F.collect_list("v").alias("q"))
+    flags = [f"f{i}" for i in range(len(FACTORS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, tree = batch.column(0)[i].as_py(), _load(batch.column(1)[i].as_py())
+                qid, q = np.array(batch.column(2)[i].as_py()), np.array(batch.column(3)[i].as_py(), float)
+                who, ids, score = search(tree, qid, q, k, None)
+                pruned = [set(zip(*(x.tolist() for x in search(tree, qid, q, k, f)[:2]))) for f in FACTORS]
+                hit = [pa.array([x in own for x in zip(who.tolist(), ids.tolist())], pa.bool_()) for own in pruned]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), dim, np.int32)), pa.array(who), pa.array(ids), pa.array(score), *hit], ["dim", "query_id", "vec_id", "score", *flags])
+
+    told = ", ".join(f"{f} boolean" for f in flags)
+    pairs = trees.join(F.broadcast(asked), "dim").select("dim", "tree", "qid", "q").repartition(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rank = F.row_number().over(W.partitionBy("dim", "query_id").orderBy(F.desc("score"), "vec_id"))
+    best = pairs.mapInArrow(run, f"dim int, query_id long, vec_id long, score double, {told}").withColumn("rank", rank).where(F.col("rank") <= k)
+    recall = best.groupBy("dim").agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in flags]).collect()
+    return {r.dim: next((f for f, name in zip(FACTORS, flags) if r[name] >= GOAL), 1.0) for r in recall}
+
+
+def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, factor: float | None = None, shard: int = SHARD, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score).  rows, queries: as `usable` gives them."""
     spark = rows.sparkSession
     trees = common.stored(index(rows, shard, leaf), "ann-trees")
+    by_dim = factors(trees, queries, k) if factor is None else {}
     count = queries.groupBy("dim").agg(F.count("*").alias("n"))
     dealt = queries.join(F.broadcast(count), "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / block)))
 
@@ -188,7 +218,7 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, factor: float =
         for batch in batches:
             for i in range(batch.num_rows):
                 asked, tree = _load(batch.column(0)[i].as_py()), _load(batch.column(1)[i].as_py())
-                found = search(tree, asked["ids"], asked["q"], k, factor)
+                found = search(tree, asked["ids"], asked["q"], k, by_dim.get(asked["q"].shape[1], 1.0) if factor is None else factor)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
     found = pairs.select("queries", "tree").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "query_id long, vec_id long, score double")
