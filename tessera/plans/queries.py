@@ -17,7 +17,7 @@ from tessera.sources import files, store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: A sparse part of the flow graph: from an error to a signup.
+#: A sparse part of the flow graph, small enough for its SQL: from an error to a signup.
 ERRORS = "kind = 'error' and next_kind = 'signup'"
 ERRORS_E = "err_e AS MATERIALIZED (SELECT * FROM flow_e WHERE kind = 'error' AND next_kind = 'signup')"
 
@@ -35,6 +35,19 @@ def query(name: str, sql: str | None = None, *graphs: str, extra: str = "", recu
     return add
 
 
+def flow_query(name: str, sql: str | None = None, *graphs: str, **options):
+    """Register a function of the flow graph: `name` over its ERRORS, which the SQL has, and `name`_whole over all its edges,
+    which tests hold to brute force.  Without SQL, `name` itself is over all edges."""
+
+    def add(f: Callable[[PropertyGraph], DataFrame]) -> Callable[[PropertyGraph], DataFrame]:
+        if sql is not None:
+            query(name, sql, *graphs, **options)(lambda s, d: f(T.flow(s, d, ERRORS)))
+        query(name + "_whole" if sql is not None else name)(lambda s, d: f(T.flow(s, d)))
+        return f
+
+    return add
+
+
 def ids(spark: SparkSession, *values: int) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "id long")
 
@@ -127,7 +140,7 @@ query("n8_density", "SELECT round(2.0 * e / (v * (v - 1.0)), 9) AS density, roun
 query("n9_vertex_detail", "SELECT 'out' AS way, kind, count(*) AS n FROM flow_e WHERE src = 8 GROUP BY kind UNION ALL SELECT 'in', kind, count(*) FROM flow_e WHERE dst = 8 GROUP BY kind", "flow")(lambda s, d: (lambda g: g.edges.where("src = 8").groupBy(F.lit("out").alias("way"), "kind").agg(F.count("*").alias("n")).unionByName(g.edges.where("dst = 8").groupBy(F.lit("in").alias("way"), "kind").agg(F.count("*").alias("n"))))(T.flow(s, d)))
 query("n10_to_csr", "SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS first, n FROM (SELECT v.id, (SELECT count(*) FROM supply_e WHERE src = v.id) AS n FROM supply_v v)", "supply")(lambda s, d: T.supply(s, d).to_csr().select("id", F.col("place").cast("long").alias("place"), F.col("first").cast("long").alias("first"), "n"))
 query("j4_dangling_edges", "SELECT count(*) AS n FROM trade_e WHERE src IN (SELECT id FROM trade_v WHERE nation = 3) OR dst IN (SELECT id FROM trade_v WHERE nation = 3)", "trade")(lambda s, d: (lambda g: PropertyGraph(g.vertices.where("nation <> 3"), g.edges).dangling().agg(F.count("*").alias("n")))(T.trade(s, d)))
-query("j7_common_neighbours", "SELECT u.a, u.b, (SELECT count(*) FROM m x JOIN m y ON x.dst = y.dst WHERE x.src = u.a AND y.src = u.b) AS n FROM u", "flow", extra="u AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM flow_e WHERE kind = 'error' AND next_kind = 'signup' AND src <> dst), m AS MATERIALIZED (SELECT a AS src, b AS dst FROM u UNION ALL SELECT b, a FROM u)")(lambda s, d: structure.edge_support(T.flow(s, d, ERRORS)))
+flow_query("j7_common_neighbours", "SELECT u.a, u.b, (SELECT count(*) FROM m x JOIN m y ON x.dst = y.dst WHERE x.src = u.a AND y.src = u.b) AS n FROM u", "flow", extra="u AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM flow_e WHERE kind = 'error' AND next_kind = 'signup' AND src <> dst), m AS MATERIALIZED (SELECT a AS src, b AS dst FROM u UNION ALL SELECT b, a FROM u)")(lambda g: structure.edge_support(g))
 
 # ---- traversals
 
@@ -140,19 +153,18 @@ def _levels(edges: str, start: str, depth: int, where: str = "") -> str:
     return ", ".join(parts)
 
 
-query("t1_walk", "SELECT e.src, CAST(l.dist AS BIGINT) AS depth, e.dst, e.eid FROM err_e e JOIN lev2 l ON l.id = e.src WHERE l.dist < 2", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 2))(lambda s, d: (lambda g: traverse.walk(g, g.vertex(3), 2)[1])(T.flow(s, d, ERRORS)))
+flow_query("t1_walk", "SELECT e.src, CAST(l.dist AS BIGINT) AS depth, e.dst, e.eid FROM err_e e JOIN lev2 l ON l.id = e.src WHERE l.dist < 2", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 2))(lambda g: traverse.walk(g, g.vertex(3), 2)[1])
 
 
-@query("t2_subgraph", "SELECT (SELECT count(*) FROM lev2) AS n_vertices, count(*) AS n_edges FROM err_e e JOIN lev2 l ON l.id = e.src WHERE l.dist < 2", "flow", extra=ERRORS_E + ", " + _levels("err_e", "5", 2))
-def t2(s, d):
-    g = T.flow(s, d, ERRORS)
+@flow_query("t2_subgraph", "SELECT (SELECT count(*) FROM lev2) AS n_vertices, count(*) AS n_edges FROM err_e e JOIN lev2 l ON l.id = e.src WHERE l.dist < 2", "flow", extra=ERRORS_E + ", " + _levels("err_e", "5", 2))
+def t2(g):
     return traverse.subgraph(g, g.vertex(5), 2).stats().select("n_vertices", "n_edges")
 
 
-query("t3_walks_of_length", "SELECT a.src || '>' || a.dst || '>' || b.dst AS path, count(*) AS n FROM err_e a JOIN err_e b ON b.src = a.dst GROUP BY 1", "flow", extra=ERRORS_E)(
-    lambda s, d: traverse.paths(T.flow(s, d, ERRORS), 2).groupBy(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path")).agg(F.count("*").alias("n"))
+flow_query("t3_walks_of_length", "SELECT a.src || '>' || a.dst || '>' || b.dst AS path, count(*) AS n FROM err_e a JOIN err_e b ON b.src = a.dst GROUP BY 1", "flow", extra=ERRORS_E)(
+    lambda g: traverse.paths(g, 2).groupBy(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path")).agg(F.count("*").alias("n"))
 )
-query("t5_bfs", "SELECT id, CAST(dist AS BIGINT) AS dist FROM lev6", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 6))(lambda s, d: (lambda g: traverse.bfs(g, g.vertex(3), 6).select("id", "dist"))(T.flow(s, d, ERRORS)))
+flow_query("t5_bfs", "SELECT id, CAST(dist AS BIGINT) AS dist FROM lev6", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 6))(lambda g: traverse.bfs(g, g.vertex(3), 6).select("id", "dist"))
 query("t6_bfs_within", "SELECT id, CAST(dist AS BIGINT) AS dist FROM lev1", "flow", extra=_levels("flow_e", "3", 1))(lambda s, d: (lambda g: traverse.bfs(g, g.vertex(3), 1).select("id", "dist"))(T.flow(s, d)))
 
 
@@ -171,9 +183,8 @@ def _bellman(rounds: int) -> str:
     return ", ".join(parts)
 
 
-@query("t10_weighted_distances", "SELECT id, CAST(dist AS DOUBLE) AS dist FROM d24", "flow", extra=ERRORS_E + ", " + _bellman(24))
-def t10(s, d):
-    g = T.flow(s, d, ERRORS)
+@flow_query("t10_weighted_distances", "SELECT id, CAST(dist AS DOUBLE) AS dist FROM d24", "flow", extra=ERRORS_E + ", " + _bellman(24))
+def t10(g):
     g = PropertyGraph(g.vertices, g.edges.withColumn("weight", (1 + (F.col("src") * 7 + F.col("dst") * 3) % 11).cast("double")))
     return traverse.sssp(g, g.vertex(3)).select("id", "dist")
 
@@ -184,14 +195,14 @@ query("t11_pattern", "SELECT DISTINCT a.id AS a, b.src AS b, c.id AS c FROM geo_
 query("t11_pattern_first", "SELECT e.dst AS a, min(e.src) AS b FROM geo_e e JOIN geo_v v ON v.id = e.src WHERE v.kind = 'supplier' GROUP BY e.dst", "geo")(lambda s, d: T.geo(s, d).match([("a", F.col("kind") == "nation"), ("b", F.col("kind") == "supplier")], [("in", None)], first_only=True))
 
 
-@query("t12_simple_paths", "SELECT n, count(*) AS paths FROM (SELECT 1 AS n FROM u WHERE src = 3 AND dst = 9 UNION ALL SELECT 2 FROM u a JOIN u b ON b.src = a.dst WHERE a.src = 3 AND b.dst = 9 AND a.dst <> 9 UNION ALL SELECT 3 FROM u a JOIN u b ON b.src = a.dst JOIN u c ON c.src = b.dst WHERE a.src = 3 AND c.dst = 9 AND a.dst NOT IN (3, 9) AND b.dst NOT IN (3, 9) AND b.dst <> a.dst) GROUP BY n", "flow", extra=ERRORS_E + ", u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM err_e UNION ALL SELECT dst, src FROM err_e) WHERE src <> dst)")
-def t12(s, d):
-    return traverse.simple_paths(T.flow(s, d, ERRORS), 3, 9, 3).groupBy((F.size("path") - 1).alias("n")).agg(F.count("*").alias("paths"))
+@flow_query("t12_simple_paths", "SELECT n, count(*) AS paths FROM (SELECT 1 AS n FROM u WHERE src = 3 AND dst = 9 UNION ALL SELECT 2 FROM u a JOIN u b ON b.src = a.dst WHERE a.src = 3 AND b.dst = 9 AND a.dst <> 9 UNION ALL SELECT 3 FROM u a JOIN u b ON b.src = a.dst JOIN u c ON c.src = b.dst WHERE a.src = 3 AND c.dst = 9 AND a.dst NOT IN (3, 9) AND b.dst NOT IN (3, 9) AND b.dst <> a.dst) GROUP BY n", "flow", extra=ERRORS_E + ", u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM err_e UNION ALL SELECT dst, src FROM err_e) WHERE src <> dst)")
+def t12(g):
+    return traverse.simple_paths(g, 3, 9, 3).groupBy((F.size("path") - 1).alias("n")).agg(F.count("*").alias("paths"))
 
 
 query("t13_induced", "SELECT src, dst, eid FROM trade_e WHERE src IN (SELECT id FROM trade_v WHERE balance > 0) AND dst IN (SELECT id FROM trade_v WHERE balance > 0)", "trade")(lambda s, d: (lambda g: g.induced(g.vertices.where("balance > 0")).edges.select("src", "dst", "eid"))(T.trade(s, d)))
-query("t14_expand", "SELECT count(*) AS n FROM err_e WHERE src IN (SELECT id FROM lev2) AND dst IN (SELECT id FROM lev2)", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 2))(lambda s, d: (lambda g: traverse.expand(g, g.vertex(3), 2, 5_000)[1].agg(F.count("*").alias("n")))(T.flow(s, d, ERRORS)))
-query("t16_reachable", "SELECT id FROM lev24", "flow", extra=ERRORS_E + ", " + _levels("err_e", "7", 24))(lambda s, d: (lambda g: traverse.bfs(g, g.vertex(7)).select("id"))(T.flow(s, d, ERRORS)))
+flow_query("t14_expand", "SELECT count(*) AS n FROM err_e WHERE src IN (SELECT id FROM lev2) AND dst IN (SELECT id FROM lev2)", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 2))(lambda g: traverse.expand(g, g.vertex(3), 2, 5_000)[1].agg(F.count("*").alias("n")))
+flow_query("t16_reachable", "SELECT id FROM lev24", "flow", extra=ERRORS_E + ", " + _levels("err_e", "7", 24))(lambda g: traverse.bfs(g, g.vertex(7)).select("id"))
 
 # ---- aggregation and sets
 
@@ -246,7 +257,7 @@ query("g7_weak_components", "SELECT c_custkey + 1000000000 AS id, CAST(n_regionk
 query("a3_component_count", "SELECT count(*) AS n FROM region")(lambda s, d: structure.connected_components(T.geo(s, d)).agg(F.count_distinct("label").alias("n")))
 query("a4_component_members", "SELECT CAST(n_regionkey AS BIGINT) AS label, count(*) + 1 + any_value(k.n) AS n, CAST(n_regionkey AS BIGINT) AS least FROM (SELECT c_nationkey AS x FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON x = n_nationkey JOIN (SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1) k ON k.r = n_regionkey GROUP BY n_regionkey")(lambda s, d: communities.members(structure.connected_components(T.geo(s, d))))
 query("t15_component_of", "SELECT c_custkey + 1000000000 AS id FROM customer JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 0 UNION ALL SELECT s_suppkey + 2000000000 FROM supplier JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 0 UNION ALL SELECT n_nationkey + 1000 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 0")(lambda s, d: communities.community_of(structure.connected_components(T.geo(s, d)), 0))
-query("g9_strong_components", "SELECT v.id, least(v.id, coalesce(min(c.b), v.id)) AS label FROM flow_v v LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) c ON c.a = v.id GROUP BY v.id", "flow", extra=ERRORS_E + ", reach AS (SELECT src AS a, dst AS b FROM err_e UNION SELECT r.a, e.dst FROM reach r JOIN err_e e ON e.src = r.b)", recursive=True)(lambda s, d: structure.strongly_connected_components(T.flow(s, d, ERRORS)))
+flow_query("g9_strong_components", "SELECT v.id, least(v.id, coalesce(min(c.b), v.id)) AS label FROM flow_v v LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) c ON c.a = v.id GROUP BY v.id", "flow", extra=ERRORS_E + ", reach AS (SELECT src AS a, dst AS b FROM err_e UNION SELECT r.a, e.dst FROM reach r JOIN err_e e ON e.src = r.b)", recursive=True)(lambda g: structure.strongly_connected_components(g))
 query("g10_cores", "SELECT id, CAST(CASE WHEN id < 1000 THEN 0 ELSE 1 END AS BIGINT) AS core FROM geo_v", "geo")(lambda s, d: structure.cores(T.geo(s, d)))
 query("g11_k_core", "SELECT id, CAST(1 AS BIGINT) AS core FROM geo_v WHERE id IN (SELECT src FROM geo_e UNION SELECT dst FROM geo_e)", "geo")(lambda s, d: structure.k_core(T.geo(s, d)).where("core > 0"))
 query("g11_k_core_copurchase")(lambda s, d: structure.k_core(T.copurchase(s, d)))
@@ -257,16 +268,16 @@ query("g13_betweenness_sample")(lambda s, d: (lambda g: _rounded(structure.betwe
 UND = "u AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {0} WHERE src <> dst)"
 TRI = "t AS MATERIALIZED (SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b)"
 query("g21_triangles", "SELECT count(*) AS n, CAST(sum(a + b + c) AS BIGINT) AS ends FROM t", "copurchase", extra=UND.format("copurchase_e") + ", " + TRI)(lambda s, d: structure.triangles(T.copurchase(s, d).undirected()).agg(F.count("*").alias("n"), F.sum(F.col("a") + F.col("b") + F.col("c")).alias("ends")))
-query("g22_directed_triangles", "SELECT a, b, c FROM t WHERE EXISTS (SELECT 1 FROM err_e p JOIN err_e q ON q.src = p.src WHERE (p.src = a AND p.dst = b AND q.dst = c) OR (p.src = b AND p.dst = a AND q.dst = c) OR (p.src = c AND p.dst = a AND q.dst = b))", "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)(lambda s, d: structure.directed_triangles(T.flow(s, d, ERRORS)))
+flow_query("g22_directed_triangles", "SELECT a, b, c FROM t WHERE EXISTS (SELECT 1 FROM err_e p JOIN err_e q ON q.src = p.src WHERE (p.src = a AND p.dst = b AND q.dst = c) OR (p.src = b AND p.dst = a AND q.dst = c) OR (p.src = c AND p.dst = a AND q.dst = b))", "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)(lambda g: structure.directed_triangles(g))
 CLUSTER = "SELECT v.id, coalesce(d.d, 0) AS degree, coalesce(k.t, 0) AS triangles, round(CASE WHEN coalesce(d.d, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(k.t, 0) / (d.d * (d.d - 1.0)) END, 9) AS coefficient FROM {0} v LEFT JOIN (SELECT id, count(*) AS d FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) GROUP BY id) d ON d.id = v.id LEFT JOIN (SELECT id, count(*) AS t FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id) k ON k.id = v.id"
-query("g23_clustering", CLUSTER.format("flow_v"), "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)(lambda s, d: _rounded(structure.clustering(T.flow(s, d, ERRORS)), 9, "coefficient"))
+flow_query("g23_clustering", CLUSTER.format("flow_v"), "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)(lambda g: _rounded(structure.clustering(g), 9, "coefficient"))
 
 # ---- communities
 
-query("g15_louvain")(lambda s, d: communities.members(communities.louvain(T.flow(s, d, ERRORS), 1.0)[0]))
-query("g16_louvain_one_level")(lambda s, d: communities.louvain(T.flow(s, d, ERRORS), 1.0, weight="weight", contract=False)[0])
+flow_query("g15_louvain")(lambda g: communities.members(communities.louvain(g, 1.0)[0]))
+flow_query("g16_louvain_one_level")(lambda g: communities.louvain(g, 1.0, weight="weight", contract=False)[0])
 query("g17_greedy_merge", "SELECT c_custkey + 1000000000 AS id, CAST(n_regionkey AS BIGINT) AS label FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_suppkey + 2000000000, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_nationkey + 1000, n_regionkey FROM nation UNION ALL SELECT r_regionkey, r_regionkey FROM region")(lambda s, d: communities.greedy_merge(T.geo(s, d)))
-query("g18_greedy_move")(lambda s, d: communities.greedy_move(T.flow(s, d, ERRORS)))
+flow_query("g18_greedy_move")(lambda g: communities.greedy_move(g))
 query("g19_modularity", "SELECT round(sum(inside / total - (ends / total) * (ends / total)), 9) AS q FROM (SELECT ls, sum(w) AS ends, sum(CASE WHEN ls = ld THEN w ELSE 0 END) AS inside FROM (SELECT src % 5 AS ls, dst % 5 AS ld, CAST(count(*) AS DOUBLE) AS w FROM (SELECT src, dst FROM flow_e UNION ALL SELECT dst, src FROM flow_e) GROUP BY 1, 2) GROUP BY ls), (SELECT CAST(2 * count(*) AS DOUBLE) AS total FROM flow_e)", "flow")(lambda s, d: (lambda g: _rounded(communities.modularity(g, g.vertices.select("id", (F.col("id") % 5).alias("label"))), 9, "q"))(T.flow(s, d)))
 query("g19_modularity_edges", "SELECT round(sum((CASE WHEN a.src % 5 = a.dst % 5 THEN 1.0 ELSE 0.0 END - ks.k * coalesce(kd.k, 0) / (2 * m.m)) / (2 * m.m)), 9) AS q FROM a JOIN k ks ON ks.src = a.src LEFT JOIN k kd ON kd.src = a.dst, (SELECT 2.0 * count(*) AS m FROM a) m", "flow", extra="a AS (SELECT DISTINCT src, dst FROM flow_e), k AS (SELECT src, count(*) AS k FROM a GROUP BY src)")(lambda s, d: (lambda g: _rounded(communities.modularity(g, g.vertices.select("id", (F.col("id") % 5).alias("label")), form="edges"), 9, "q"))(T.flow(s, d)))
 
@@ -278,7 +289,7 @@ def _labels_sql(rounds: int) -> str:
     return ", ".join(parts)
 
 
-query("g20_label_propagation", "SELECT id, label FROM p4", "flow", extra=ERRORS_E + ", " + _labels_sql(4))(lambda s, d: communities.label_propagation(T.flow(s, d, ERRORS), 4))
+flow_query("g20_label_propagation", "SELECT id, label FROM p4", "flow", extra=ERRORS_E + ", " + _labels_sql(4))(lambda g: communities.label_propagation(g, 4))
 
 # ---- delta versions: the new edges are those whose eid is divisible by 10 (by 1000 in the larger graphs)
 
@@ -294,16 +305,14 @@ def d1(s, d):
     return _rounded(incremental.pagerank(g, ranking.pagerank(old, 15), new, rounds=20), 4, "score")
 
 
-@query("d5_incremental_bfs", "SELECT id, CAST(dist AS BIGINT) AS dist FROM lev24", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 24))
-def d5(s, d):
-    g = T.flow(s, d, ERRORS)
+@flow_query("d5_incremental_bfs", "SELECT id, CAST(dist AS BIGINT) AS dist FROM lev24", "flow", extra=ERRORS_E + ", " + _levels("err_e", "3", 24))
+def d5(g):
     old, new = _split(g, 10)
     return incremental.bfs(g, traverse.bfs(old, old.vertex(3)), new).select("id", "dist")
 
 
-@query("d7_incremental_sssp", "SELECT id, CAST(dist AS DOUBLE) AS dist FROM d24", "flow", extra=ERRORS_E + ", " + _bellman(24))
-def d7(s, d):
-    g = T.flow(s, d, ERRORS)
+@flow_query("d7_incremental_sssp", "SELECT id, CAST(dist AS DOUBLE) AS dist FROM d24", "flow", extra=ERRORS_E + ", " + _bellman(24))
+def d7(g):
     g = PropertyGraph(g.vertices, g.edges.withColumn("weight", (1 + (F.col("src") * 7 + F.col("dst") * 3) % 11).cast("double")))
     old, new = _split(g, 10)
     return incremental.sssp(g, traverse.sssp(old, old.vertex(3)), new).select("id", "dist")
@@ -317,14 +326,13 @@ def d10(s, d):
 
 
 NEW_TRI = "SELECT a, b, c FROM t WHERE EXISTS (SELECT 1 FROM err_e n WHERE n.eid % 10 = 0 AND ((least(n.src, n.dst) = a AND greatest(n.src, n.dst) IN (b, c)) OR (least(n.src, n.dst) = b AND greatest(n.src, n.dst) = c)))"
-query("d11_incremental_triangles", NEW_TRI, "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)(lambda s, d: (lambda g: incremental.triangles(g, _split(g, 10)[1]))(T.flow(s, d, ERRORS)))
+flow_query("d11_incremental_triangles", NEW_TRI, "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)(lambda g: incremental.triangles(g, _split(g, 10)[1]))
 OLD = "old_e AS (SELECT * FROM err_e WHERE eid % 10 <> 0), ou AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM old_e WHERE src <> dst)"
-query("d12_triangle_difference", "SELECT a, b, c FROM t EXCEPT SELECT x.a, x.b, y.b FROM ou x JOIN ou y ON x.b = y.a JOIN ou z ON z.a = x.a AND z.b = y.b", "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI + ", " + OLD)(lambda s, d: (lambda g: incremental.triangles_difference(structure.triangles(_split(g, 10)[0].undirected()), structure.triangles(g.undirected())))(T.flow(s, d, ERRORS)))
+flow_query("d12_triangle_difference", "SELECT a, b, c FROM t EXCEPT SELECT x.a, x.b, y.b FROM ou x JOIN ou y ON x.b = y.a JOIN ou z ON z.a = x.a AND z.b = y.b", "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI + ", " + OLD)(lambda g: incremental.triangles_difference(structure.triangles(_split(g, 10)[0].undirected()), structure.triangles(g.undirected())))
 
 
-@query("d13_incremental_clustering", CLUSTER.format("flow_v"), "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)
-def d13(s, d):
-    g = T.flow(s, d, ERRORS)
+@flow_query("d13_incremental_clustering", CLUSTER.format("flow_v"), "flow", extra=ERRORS_E + ", " + UND.format("err_e") + ", " + TRI)
+def d13(g):
     old, new = _split(g, 10)
     return _rounded(incremental.clustering(g, structure.clustering(old), new), 9, "coefficient")
 
