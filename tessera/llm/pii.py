@@ -3,13 +3,14 @@
 Seeds: four kinds of entities found by pattern and checked (email, ip, card with Luhn, phone), leftmost and
 non-overlapping for each kind; a match that fails its check is dropped and not retried.
 
-Bootstrapping: every seed, and every other token with a digit or @ of MIN_LENGTH characters or more, is a mention of an
-instance (its lower-cased text) in two lexical patterns: the two tokens before it, and the token before it with its
-shape (each digit 0, each run of letters a).  The graph of patterns and instances is scored in rounds, by kind: a pattern's confidence is
+Bootstrapping: every seed, every other token with a digit or @ and every run of two or more groups of digits, of MIN_LENGTH
+characters or more, is a mention of an instance (its lower-cased text) in two lexical patterns: the two tokens before it in the
+text, whatever they are, and the token before it with its shape (each digit 0, each run of letters a).  A token that begins a
+run leaves the first pattern to the run.  The graph of patterns and instances is scored in rounds, by kind: a pattern's confidence is
 the share of its mentions, one unknown mention added, that known instances account for; an instance that is no seed
 scores the mean confidence of the patterns that it occurs in.  Patterns of CONFIDENCE or more that at
 least MIN_SEEDS different seeds support then discover the tokens that occur in them.  Seeds always stay; a discovered span never overlaps
-one, and takes the kind of the most confident pattern.
+one, gives way to a discovered run around it, and takes the kind of the most confident pattern.
 
 Everything up to the mentions is one projection without a shuffle.  The graph is aggregated before it is shuffled, so a
 common pattern or a text with thousands of copies is one row a task.
@@ -42,6 +43,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_GROUP = r"[+(]*+[0-9][0-9().-]*+(?!\S)"
+RUN = rf"(?<!\S){_GROUP}(?: {_GROUP})++"
 
 SPAN = "array<struct<s:bigint,e:bigint,before:string,txt:string>>"
 
@@ -69,16 +72,18 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, valid) -> Column:
-    """All matches that are valid, with start and end in code points and the text before (the last 80 characters)."""
+    """All matches that are valid, with start and end in code points and the text before (the last 80 characters), earlier matches included."""
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.right(gap, F.lit(80)).alias("before"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.coalesce(F.length(x["m"]), F.lit(0)).cast("long")
+        before = F.right(F.concat(acc["tail"], x["before"]), F.lit(80))
+        tail = F.right(F.concat(before, F.right(F.coalesce(x["m"], F.lit("")), F.lit(80))), F.lit(80))
         keep = x["m"].isNotNull() & valid(x["m"])
-        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["before"].alias("before"), x["m"].alias("txt"))))
-        return F.struct(e.alias("at"), F.when(keep, more).otherwise(acc["out"]).cast(SPAN).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), before.alias("before"), x["m"].alias("txt"))))
+        return F.struct(e.alias("at"), tail.alias("tail"), F.when(keep, more).otherwise(acc["out"]).cast(SPAN).alias("out"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
@@ -92,15 +97,17 @@ def spans_text(kind: str, spans: Column) -> Column:
 
 
 def seeds(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, digest of the text, email, ip, card, phone: arrays of spans, other: tokens with digits that no seed overlaps)."""
+    """(key, digest of the text, email, ip, card, phone: arrays of spans, other, run: tokens with digits and runs of groups that no seed overlaps)."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     digit = F.col("_t").rlike("[0-9]")
     needs = {"email": F.contains("_t", F.lit("@")), "ip": digit & F.contains("_t", F.lit(".")), "card": digit, "phone": digit & F.contains("_t", F.lit("+"))}
     cols = {k: F.when(needs[k], matches(F.col("_t"), PATTERNS[k], lambda m, k=k: _valid(k, m))).otherwise(_empty()) for k in KINDS}
     cols["other"] = F.when(F.col("_t").rlike("[0-9@]"), matches(F.col("_t"), TOKEN, lambda m: F.length(m) >= MIN_LENGTH)).otherwise(_empty())
+    cols["run"] = F.when(F.col("_t").rlike("[0-9)(.-] [+(]*[0-9]"), matches(F.col("_t"), RUN, lambda m: F.length(m) >= MIN_LENGTH)).otherwise(_empty())
     rows = rows.select(key, F.md5("_t").alias("digest"), *[c.alias(k) for k, c in cols.items()])
     base = F.concat(*[F.col(k) for k in KINDS])
-    return rows.withColumn("other", F.filter("other", lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))))
+    free = lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
+    return rows.withColumns({"other": F.filter("other", free), "run": F.filter("run", free)})
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -108,14 +115,15 @@ def mentions(found: DataFrame) -> DataFrame:
 
     def tag(name: str) -> Column:
         kind = F.lit(name if name in KINDS else None).cast("string")
-        return F.transform(name, lambda x: F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["before"].alias("before"), x["txt"].alias("txt")))
+        heads = (lambda x: F.exists("run", lambda r: r["s"] == x["s"])) if name == "other" else lambda x: F.lit(False)
+        return F.transform(name, lambda x: F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["before"].alias("before"), x["txt"].alias("txt"), heads(x).alias("heads")))
 
-    tagged = [tag(k) for k in (*KINDS, "other")]
-    rows = found.where(" or ".join(f"size({k}) > 0" for k in (*KINDS, "other"))).select("digest", F.explode(F.concat(*tagged)).alias("x")).select("digest", "x.*")
+    tagged = [tag(k) for k in (*KINDS, "other", "run")]
+    rows = found.where(" or ".join(f"size({k}) > 0" for k in (*KINDS, "other", "run"))).select("digest", F.explode(F.concat(*tagged)).alias("x")).select("digest", "x.*")
     shape = F.regexp_replace(F.regexp_replace(F.lower("txt"), "[0-9]", "0"), r"\p{L}+", "a")
     before = lambda pattern: F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract("before", pattern, 1)), "[0-9]", "0"), r"\s+", " ")
     two, one = before(r"(?<!\S)(\S++\s++\S++)\s*$"), before(r"(?<!\S)(\S++)\s*$")
-    own = F.explode(F.array(F.struct(two.alias("before"), F.lit("*").alias("shape")), F.struct(one.alias("before"), shape.alias("shape"))))
+    own = F.explode(F.array(F.struct(F.when(~F.col("heads"), two).alias("before"), F.lit("*").alias("shape")), F.struct(one.alias("before"), shape.alias("shape"))))
     rows = rows.select("digest", "kind", own.alias("p"), F.lower("txt").alias("instance"), "s", "e")
     return rows.where("p.before <> ''").select("digest", "kind", "p.before", "p.shape", "instance", "s", "e")
 
@@ -152,6 +160,8 @@ def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rounds:
     best = F.max(F.struct("confidence", (-number).alias("k"))).alias("best")
     more = more.groupBy("digest", "s", "e").agg(best).select("digest", F.struct((-F.col("best.k")).alias("k"), "s", "e").alias("x"))
     more = more.groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("more"))
+    inner = lambda x: F.exists("more", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"]))
+    more = more.withColumn("more", F.filter("more", lambda x: ~inner(x)))
     more = common.stored(more, "pii-more")  # so that the join below reads plain exchanges, whose hot texts are split at run time
     empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))
     return found.join(more, "digest", "left").select(key, *KINDS, F.coalesce("more", empty).alias("more"))
