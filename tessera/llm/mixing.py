@@ -23,7 +23,7 @@ is 1.  Repeated rows get the same rate.  An empty table gives an empty result.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +37,9 @@ from tessera.llm.toxicity import _LOWER
 
 #: Bound of the labelled rows that the classifier is fitted on, those with the smallest hashes of their ids.
 MAX_TRAIN = 5_000
-#: Bound of the number of domains: the most common ones; the rest of the labels isn't learnt from.
+#: Bound of the number of domains that the targets don't name: the most common ones; the rest of the labels is the domain POOL.
 MAX_DOMAINS = 64
+POOL = "(other)"
 EVIDENCE = 40.0
 ROUNDS = 200
 TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
@@ -74,8 +75,8 @@ def _pairs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair, inside
 
 
-def train(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str = "text", domain: str = "domain", max_train: int = MAX_TRAIN) -> Domains:
-    """A classifier from labelled (key, domain); an id with several domains counts for the smallest."""
+def train(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str = "text", domain: str = "domain", max_train: int = MAX_TRAIN, named: Iterable[str] = ()) -> Domains:
+    """A classifier from labelled (key, domain); an id with several domains counts for the smallest.  Domains in `named` are never pooled."""
     common.ship(docs.sparkSession)
     rows = labelled.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(domain).alias("_d"))
     rows = rows.orderBy(F.xxhash64("_k"), "_k").limit(max_train)
@@ -97,8 +98,10 @@ def train(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(some)), pa.array(some), pa.array(v[some])], ["d", "pair", "n"])
 
     got = own.mapInArrow(count, "d string, pair long, n long").groupBy("d", "pair").agg(F.sum("n").alias("n"))
-    top = got.where(f"pair = {1 << 16}").orderBy(F.desc("n"), "d").limit(MAX_DOMAINS)
-    got = got.join(F.broadcast(top.select("d")), "d").toArrow().to_pandas()
+    top = got.where(f"pair = {1 << 16}").where(~F.col("d").isin(list(named))).orderBy(F.desc("n"), "d").limit(MAX_DOMAINS)
+    own = got.join(F.broadcast(top.select("d", F.lit(True).alias("own"))), "d", "left")
+    pooled = F.when(F.col("own") | F.col("d").isin(list(named)), F.col("d")).otherwise(POOL)
+    got = own.groupBy(pooled.alias("d"), "pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(set(got["d"]))
     if not names:
         return Domains(["all"], np.zeros((1 << 16, 1)), np.zeros(1))
@@ -186,7 +189,7 @@ def copies(rate: Column, key: Column) -> Column:
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0, most: float | None = None) -> DataFrame:
     """docs with n_tokens, domain_posterior (name:share of each domain), rate and copies added (such columns are replaced)."""
-    model = train(docs, labelled, key=key, text=text, domain=domain)
+    model = train(docs, labelled, key=key, text=text, domain=domain, named=targets or TARGETS)
     docs = docs.drop("n_tokens", "domain_posterior", "rate", "copies")
     scored = posteriors(docs, model, text=text)
     table = common.stored(posteriors(docs.select(text), model, text=text).select("_mix.n_tokens", "_mix.posterior"), "mixing")
