@@ -15,12 +15,17 @@ one, gives way to a discovered run around it, and takes the kind of the most con
 Everything up to the mentions is one projection without a shuffle.  The graph is aggregated before it is shuffled, so a
 common pattern or a text with thousands of copies is one row a task.
 
+Everything within a text is linear in its matches, but for sorting.  A token longer than CONTEXT characters is nobody's context.
+
 Positions count code points.  Null texts count as empty; repeated rows get a row each; an empty table gives an
 empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,64 +37,123 @@ MIN_LENGTH = 6
 MIN_SEEDS = 3
 CONFIDENCE = 0.8
 ROUNDS = 3
+#: How far back a mention's context is looked for: characters, and matches of the same pattern.
+CONTEXT = 160
+BACK = 4
+#: Numbers that a fold over an array collects before it starts a new block.
+BLOCK = 256
 
 # Possessive loops match as greedy ones do where nothing follows that they could give back to, and neither recurse nor
 # backtrack on long runs; a run is tried at its start only, or where the match before it has ended.
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_GROUP = r"[+(]*+[0-9][0-9().-]*+(?!\S)"
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "other": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    "run": rf"(?<!\S){_GROUP}(?: {_GROUP})++",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_GROUP = r"[+(]*+[0-9][0-9().-]*+(?!\S)"
-RUN = rf"(?<!\S){_GROUP}(?: {_GROUP})++"
 
 SPAN = "array<struct<s:bigint,e:bigint,before:string,txt:string>>"
 
 
-def _luhn(digits: Column) -> Column:
-    """Whether the digits' Luhn sum, from the right, every second one doubled, is divisible by 10."""
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("place"))
+_names = itertools.count()
+
+
+def _name() -> str:
+    """A name that no other lambda has."""
+    return f"v{next(_names)}"
 
-    def step(acc: Column, d: Column) -> Column:
-        own = F.when(acc["place"] % 2 == 1, F.translate(d, "0123456789", "0246813579")).otherwise(d).cast("int")
-        return F.struct((acc["total"] + own).alias("total"), (acc["place"] + 1).alias("place"))
 
-    return F.aggregate(F.split(F.reverse(digits), ""), start, step, lambda acc: acc["total"] % 10 == 0)
+def _luhn(digits: str) -> str:
+    """Whether the digits' Luhn sum, from the right, every second one doubled, is divisible by 10."""
+    own = "a.total + cast(if(a.place % 2 = 1, translate(x, '0123456789', '0246813579'), x) as int)"
+    return f"aggregate(split(reverse({digits}), ''), named_struct('total', 0, 'place', 0), (a, x) -> named_struct('total', {own}, 'place', a.place + 1), a -> a.total % 10 = 0)"
 
 
-def _valid(kind: str, m: Column) -> Column:
+def _valid(kind: str, m: str) -> str:
+    """The condition on a match m, all as SQL."""
     if kind == "ip":
-        return m.rlike(f"^{_BYTE}(?:\\.{_BYTE}){{3}}$")
+        return rf"rlike({m}, r'^{_BYTE}(?:\.{_BYTE}){{3}}$')"
     if kind == "card":
-        digits = F.regexp_replace(m, "[ -]", "")
-        return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
+        digits = f"regexp_replace({m}, '[ -]', '')"
+        return f"case when length({digits}) between 13 and 19 then {_luhn(digits)} else false end"
     if kind == "phone":
-        return F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
-    return F.lit(True)
+        return f"length(regexp_replace({m}, '[^0-9]', '')) between 9 and 15"
+    return "true" if kind == "email" else f"length({m}) >= {MIN_LENGTH}"
+
+
+# The expressions within a text are SQL: as nested lambdas they are parsed at once, where thousands of calls would build them.
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
+    """body(name of value), with the value worked out once however often body uses it, within lambdas too."""
+    name = _name()
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
+
+
+def before_each(values: str, zero: str, fold: Callable[[str, str], str]) -> str:
+    """For each of an array's numbers the fold of zero and all numbers before it.
 
+    An array that grows in a fold is copied at every step, so the fold runs in blocks: the blocks' own folds first, then from one
+    block's start to the next, then within each block.  The copies stay near n x BLOCK / 2 + (n / BLOCK)^2 / 2 numbers."""
 
-def matches(text: Column, pattern: str, valid) -> Column:
-    """All matches that are valid, with start and end in code points and the text before (the last 80 characters), earlier matches included."""
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.right(gap, F.lit(80)).alias("before"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
+    def exclusive(own: str, start: str) -> str:
+        c, x = _name(), _name()
+        return f"aggregate({own}, named_struct('at', {start}, 'out', cast(array() as array<bigint>)), ({c}, {x}) -> named_struct('at', {fold(f'{c}.at', x)}, 'out', concat({c}.out, array({c}.at))), {c} -> {c}.out)"
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0)).cast("long")
-        before = F.right(F.concat(acc["tail"], x["before"]), F.lit(80))
-        tail = F.right(F.concat(before, F.right(F.coalesce(x["m"], F.lit("")), F.lit(80))), F.lit(80))
-        keep = x["m"].isNotNull() & valid(x["m"])
-        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), before.alias("before"), x["m"].alias("txt"))))
-        return F.struct(e.alias("at"), tail.alias("tail"), F.when(keep, more).otherwise(acc["out"]).cast(SPAN).alias("out"))
+    def whole(own: str) -> str:
+        b, y, o, z, t = (_name() for _ in range(5))
+        blocks = f"transform(sequence(0, greatest(0, cast(ceil(size({own}) / {BLOCK}) as int) - 1)), {b} -> slice({own}, {b} * {BLOCK} + 1, {BLOCK}))"
+        sums = lambda k: f"transform({k}, {y} -> aggregate({y}, {zero}, ({z}, {t}) -> {fold(z, t)}))"
+        return let(blocks, lambda k: f"flatten(zip_with({k}, {exclusive(sums(k), zero)}, ({y}, {o}) -> {exclusive(y, o)}))")
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return let(values, whole)
 
 
-def _empty() -> Column:
-    return F.array().cast(SPAN)
+def matches(text: str, pattern: str, kind: str) -> str:
+    """All matches that are valid, with start and end in code points and the text before, earlier matches included: its last
+    CONTEXT characters, as far back as BACK matches, without a token that is cut by either bound."""
+    parts = f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, m) -> named_struct('gap', cast(length(g) as bigint), 'before', right(g, {CONTEXT}), 'm', m))"
+
+    def spans(own: str) -> str:
+        at = before_each(f"transform({own}, x -> x.gap + coalesce(length(x.m), 0))", "0L", lambda a, b: f"{a} + {b}")
+        piece = f"transform({own}, x -> named_struct('text', right(concat(x.before, coalesce(right(x.m, {CONTEXT}), '')), {CONTEXT}), 'n', x.gap + coalesce(length(x.m), 0)))"
+
+        def span(at: str, piece: str) -> str:
+            seen = ", ".join(f"coalesce(get({piece}, i - {k}).text, '')" for k in range(BACK, 0, -1))
+            reach = " + ".join(f"coalesce(get({piece}, i - {k}).n, 0L)" for k in range(1, BACK + 1))
+            one = f"named_struct('s', get({at}, i) + x.gap, 'e', get({at}, i) + x.gap + coalesce(length(x.m), 0), 'seen', right(concat({seen}, x.before), {CONTEXT}), 'reach', least({CONTEXT}L, {reach} + x.gap), 'txt', x.m)"
+            kept = f"filter(transform({own}, (x, i) -> {one}), y -> y.txt is not null and {_valid(kind, 'y.txt')})"
+            before = r"if(y.reach < y.s, regexp_replace(y.seen, r'^\S+', ''), y.seen)"
+            return f"cast(transform({kept}, y -> named_struct('s', y.s, 'e', y.e, 'before', {before}, 'txt', y.txt)) as {SPAN})"
+
+        return let(at, lambda at: let(piece, lambda piece: span(at, piece)))
+
+    return let(parts, spans)
+
+
+def _marked(name: str, who: int, context: bool = True) -> str:
+    more = "x.before, 'txt', x.txt" if context else "'', 'txt', ''"
+    return f"transform({name}, x -> named_struct('s', x.s, 'who', {who}, 'e', x.e, 'before', {more}))"
+
+
+def free(tokens: str, base: str) -> str:
+    """The tokens that no span of base overlaps: both in one order of starts, base first; before a token the furthest end so far
+    counts, behind it the next start."""
+    far = f"{1 << 62}L"
+
+    def checked(every: str) -> str:
+        ends = before_each(f"transform({every}, x -> if(x.who = 0, x.e, -1L))", "-1L", lambda a, b: f"greatest({a}, {b})")
+        starts = before_each(f"reverse(transform({every}, x -> if(x.who = 0, x.s, {far})))", far, lambda a, b: f"least({a}, {b})")
+        sides = f"zip_with(zip_with({every}, {ends}, (x, e) -> named_struct('x', x, 'before', e)), reverse({starts}), (y, s) -> named_struct('x', y.x, 'before', y.before, 'next', s))"
+        kept = f"filter({sides}, y -> y.x.who = 1 and y.before <= y.x.s and y.next >= y.x.e)"
+        return f"transform({kept}, y -> named_struct('s', y.x.s, 'e', y.x.e, 'before', y.x.before, 'txt', y.x.txt))"
+
+    both = let(f"array_sort(concat({_marked(base, 0, False)}, {_marked(tokens, 1)}))", checked)
+    return f"cast(if(size({tokens}) = 0 or size({base}) = 0, {tokens}, {both}) as {SPAN})"
 
 
 def spans_text(kind: str, spans: Column) -> Column:
@@ -99,27 +163,25 @@ def spans_text(kind: str, spans: Column) -> Column:
 def seeds(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest of the text, email, ip, card, phone: arrays of spans, other, run: tokens with digits and runs of groups that no seed overlaps)."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    digit = F.col("_t").rlike("[0-9]")
-    needs = {"email": F.contains("_t", F.lit("@")), "ip": digit & F.contains("_t", F.lit(".")), "card": digit, "phone": digit & F.contains("_t", F.lit("+"))}
-    cols = {k: F.when(needs[k], matches(F.col("_t"), PATTERNS[k], lambda m, k=k: _valid(k, m))).otherwise(_empty()) for k in KINDS}
-    cols["other"] = F.when(F.col("_t").rlike("[0-9@]"), matches(F.col("_t"), TOKEN, lambda m: F.length(m) >= MIN_LENGTH)).otherwise(_empty())
-    cols["run"] = F.when(F.col("_t").rlike("[0-9)(.-] [+(]*[0-9]"), matches(F.col("_t"), RUN, lambda m: F.length(m) >= MIN_LENGTH)).otherwise(_empty())
-    rows = rows.select(key, F.md5("_t").alias("digest"), *[c.alias(k) for k, c in cols.items()])
-    base = F.concat(*[F.col(k) for k in KINDS])
-    free = lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-    return rows.withColumns({"other": F.filter("other", free), "run": F.filter("run", free)})
+    digit = "_t rlike '[0-9]'"
+    needs = {"email": "contains(_t, '@')", "ip": f"{digit} and contains(_t, '.')", "card": digit, "phone": f"{digit} and contains(_t, '+')", "other": "_t rlike '[0-9@]'", "run": "_t rlike '[0-9)(.-] [+(]*[0-9]'"}
+    found = [F.expr(f"if({need}, {matches('_t', PATTERNS[k], k)}, cast(array() as {SPAN}))").alias(k) for k, need in needs.items()]
+    rows = rows.select(key, F.md5("_t").alias("digest"), *found).withColumn("_base", F.concat(*KINDS))
+    return rows.select(key, "digest", *KINDS, *[F.expr(free(k, "_base")).alias(k) for k in ("other", "run")])
 
 
 def mentions(found: DataFrame) -> DataFrame:
     """(digest, kind or null, before, shape, instance, s, e), a row for each pattern of a mention; shape * is any shape."""
+    mention = lambda kind, heads: f"named_struct('kind', cast({kind} as string), 's', x.s, 'e', x.e, 'before', x.before, 'txt', x.txt, 'heads', {heads})"
 
-    def tag(name: str) -> Column:
-        kind = F.lit(name if name in KINDS else None).cast("string")
-        heads = (lambda x: F.exists("run", lambda r: r["s"] == x["s"])) if name == "other" else lambda x: F.lit(False)
-        return F.transform(name, lambda x: F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["before"].alias("before"), x["txt"].alias("txt"), heads(x).alias("heads")))
+    def told(own: str) -> str:
+        """Tokens, told whether a run begins with them: in order of starts, runs first, such a run stands just before its token."""
+        heads = f"coalesce(get({own}, i - 1).s = x.s and get({own}, i - 1).who = 0, false)"
+        return f"transform(filter(transform({own}, (x, i) -> named_struct('who', x.who, 'm', {mention('null', heads)})), r -> r.who = 1), r -> r.m)"
 
-    tagged = [tag(k) for k in (*KINDS, "other", "run")]
-    rows = found.where(" or ".join(f"size({k}) > 0" for k in (*KINDS, "other", "run"))).select("digest", F.explode(F.concat(*tagged)).alias("x")).select("digest", "x.*")
+    tagged = [f"transform({k}, x -> {mention(repr(k), 'false')})" for k in KINDS]
+    tagged += [let(f"array_sort(concat({_marked('run', 0)}, {_marked('other', 1)}))", told), f"transform(run, x -> {mention('null', 'false')})"]
+    rows = found.where(" or ".join(f"size({k}) > 0" for k in (*KINDS, "other", "run"))).select("digest", F.expr(f"explode(concat({', '.join(tagged)}))").alias("x")).select("digest", "x.*")
     shape = F.regexp_replace(F.regexp_replace(F.lower("txt"), "[0-9]", "0"), r"\p{L}+", "a")
     before = lambda pattern: F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract("before", pattern, 1)), "[0-9]", "0"), r"\s+", " ")
     two, one = before(r"(?<!\S)(\S++\s++\S++)\s*$"), before(r"(?<!\S)(\S++)\s*$")
@@ -150,6 +212,18 @@ def patterns(found: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONF
     return best.select("before", "shape", F.col("best.kind").alias("kind"), F.col("best.confidence").alias("confidence"))
 
 
+def outer(spans: str) -> str:
+    """Spans (k, s, e) without those that lie within a longer one: by start, the longer first, each whose end is beyond all before it.
+    In order of kind, start and end."""
+
+    def kept(own: str) -> str:
+        ends = before_each(f"transform({own}, x -> -x.back)", "-1L", lambda a, b: f"greatest({a}, {b})")
+        last = f"filter(zip_with({own}, {ends}, (x, e) -> named_struct('x', x, 'before', e)), y -> y.before < -y.x.back)"
+        return f"array_sort(transform({last}, y -> named_struct('k', y.x.k, 's', y.x.s, 'e', -y.x.back)))"
+
+    return let(f"array_sort(transform({spans}, x -> named_struct('s', x.s, 'back', -x.e, 'k', x.k)))", kept)
+
+
 def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(key, the four arrays of seeds, more: array of (kind number, s, e) discovered) of every row."""
     found = common.stored(seeds(docs, key=key, text=text), "pii-seeds")
@@ -160,8 +234,7 @@ def extract(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rounds:
     best = F.max(F.struct("confidence", (-number).alias("k"))).alias("best")
     more = more.groupBy("digest", "s", "e").agg(best).select("digest", F.struct((-F.col("best.k")).alias("k"), "s", "e").alias("x"))
     more = more.groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("more"))
-    inner = lambda x: F.exists("more", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"]))
-    more = more.withColumn("more", F.filter("more", lambda x: ~inner(x)))
+    more = more.withColumn("more", F.expr(outer("more")))
     more = common.stored(more, "pii-more")  # so that the join below reads plain exchanges, whose hot texts are split at run time
     empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))
     return found.join(more, "digest", "left").select(key, *KINDS, F.coalesce("more", empty).alias("more"))
