@@ -131,7 +131,6 @@ FORMATTED = "formatted string, mask array<struct<a:int,b:int>>, attachments arra
 
 def format_turns(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
     """(conv, turn, formatted, mask, attachments) of every row; parts is an array of PART or a string (one text part)."""
-    common.ship(rows.sparkSession)
     plain = dict(rows.dtypes)[parts] == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +145,13 @@ def format_turns(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
             )
 
     kinds = dict(rows.dtypes)
-    out = rows.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(parts).alias("p")).mapInArrow(run, f"c {kinds[conv]}, t {kinds[turn]}, {FORMATTED}")
+    own = rows.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(parts).alias("p"))
+    out = common.mapped(own, run, f"c {kinds[conv]}, t {kinds[turn]}, {FORMATTED}")
     return out.withColumnsRenamed({"c": conv, "t": turn})
 
 
 def read_back(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) parsed from formatted turns."""
-    common.ship(turns.sparkSession)
     rows = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), "formatted", "mask").repartition("c").sortWithinPartitions("c", "t", "formatted").select("c", "formatted", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +186,7 @@ def read_back(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn") ->
             yield close([(now, n, all_.hexdigest(), loss, under.hexdigest(), size)])
 
     kind = dict(turns.dtypes)[conv]
-    return rows.mapInArrow(run, f"c {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("c", conv)
+    return common.mapped(rows, run, f"c {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("c", conv)
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:

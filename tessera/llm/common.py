@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,18 @@ from pyspark.sql import functions as F
 #: Most UTF-8 bytes that a Python worker handles at once (a longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 18
 
+#: Bytes of a batch between the JVM and a Python worker, where the session sets no bound of its own: rows are whole
+#: texts, and a worker holds its batch several times over.
+BATCH_BYTES = 4 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, however the driver found it."""
+    """Give the executors this package, once for each application, however the driver found it, and bound the batches."""
+    if spark.conf.get(_BOUND, "1b") == "1b":
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -38,10 +46,36 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) on executors that have this package; a task's freed memory goes back to the machine when it ends, as
+    its worker lives on for other tasks."""
+    ship(df.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(whole, schema)
+
+
+def released() -> None:
+    """Return freed memory, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a local master gets a temporary
+    folder, and a cluster an error, as its machines share none that could be guessed."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -60,6 +94,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one that nothing reads any longer."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Held:
+    """stored, for a table that its maker can drop."""
+
+    def __init__(self, df: DataFrame, what: str):
+        self.spark, self.path = df.sparkSession, scratch(df.sparkSession, what)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        dropped(self.spark, self.path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -114,6 +166,8 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that span_hashes works on at once; a longer span is worked on by itself.
+STRETCH = 1 << 18
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +188,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, independent of its place: prefix sums of bytes times powers of their places,
-    with the place of the span divided out."""
-    power, inverse = _power(len(buf) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[buf] * power[: len(buf)], dtype=np.uint64)])
-    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MIX[7])
+    """A 64-bit hash of each span of bytes (in order, not overlapping), independent of its place: prefix sums of bytes times powers of
+    their places, with the place of the span divided out.  Long texts are worked through in stretches."""
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        base = int(starts[done])
+        stop = max(done + 1, int(np.searchsorted(ends, base + STRETCH, side="right")))
+        a, b = starts[done:stop] - base, ends[done:stop] - base
+        part = buf[base : base + int(b[-1])]
+        power, inverse = _power(len(part) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MIX[part] * power[: len(part)], dtype=np.uint64)])
+        out[done:stop] = mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * _MIX[7])
+        done = stop
+    return out

@@ -77,7 +77,6 @@ def _pairs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str = "text", domain: str = "domain", max_train: int = MAX_TRAIN, named: Iterable[str] = ()) -> Domains:
     """A classifier from labelled (key, domain); an id with several domains counts for the smallest.  Domains in `named` are never pooled."""
-    common.ship(docs.sparkSession)
     rows = labelled.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(domain).alias("_d"))
     rows = rows.orderBy(F.xxhash64("_k"), "_k").limit(max_train)
     own = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(rows), "_k").select("_d", "text")
@@ -97,7 +96,7 @@ def train(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
             some = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(some)), pa.array(some), pa.array(v[some])], ["d", "pair", "n"])
 
-    got = own.mapInArrow(count, "d string, pair long, n long").groupBy("d", "pair").agg(F.sum("n").alias("n"))
+    got = common.mapped(own, count, "d string, pair long, n long").groupBy("d", "pair").agg(F.sum("n").alias("n"))
     top = got.where(f"pair = {1 << 16}").where(~F.col("d").isin(list(named))).orderBy(F.desc("n"), "d").limit(MAX_DOMAINS)
     own = got.join(F.broadcast(top.select("d", F.lit(True).alias("own"))), "d", "left")
     pooled = F.when(F.col("own") | F.col("d").isin(list(named)), F.col("d")).otherwise(POOL)
@@ -119,7 +118,6 @@ EXTRA = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("po
 
 def posteriors(docs: DataFrame, model: Domains, *, text: str = "text", to: str = "_mix") -> DataFrame:
     """docs with a struct column `to`: n_tokens (words between white space) and posterior, in the order of model.names."""
-    common.ship(docs.sparkSession)
     docs = docs.drop(to)
     place = docs.columns.index(text)
 
@@ -133,7 +131,7 @@ def posteriors(docs: DataFrame, model: Domains, *, text: str = "text", to: str =
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays([pa.array(n), flat], ["n_tokens", "posterior"])], [*part.schema.names, to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, EXTRA)]))
+    return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(to, EXTRA)]))
 
 
 def fit_rates(table: DataFrame, names: list[str], targets: dict[str, float], *, least: float = 0.0, most: float | None = None, rounds: int = ROUNDS, tol: float = 1e-4):

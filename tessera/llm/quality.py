@@ -154,7 +154,6 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
 
     The labelled rows are bounded by max_train, so they can be broadcast; the driver gets one short vector for each.
     """
-    common.ship(docs.sparkSession)
     rows = training_rows(labels, key, label, keep, max_train)
     joined = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(rows), "_k").select("_y", "text")
 
@@ -164,14 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
                 x = statistics(*common.utf8(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = joined.mapInArrow(vectors, "y int, x array<double>").orderBy(F.xxhash64("x"), "y").limit(max_train).toArrow()
+    got = common.mapped(joined, vectors, "y int, x array<double>").orderBy(F.xxhash64("x"), "y").limit(max_train).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(NAMES)) if got.num_rows else np.zeros((0, len(NAMES)))
     return fit(x, got.column("y").to_numpy().astype(int))
 
 
 def score(docs: DataFrame, model: Discriminant, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row."""
-    common.ship(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +178,7 @@ def score(docs: DataFrame, model: Discriminant, *, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], ["k", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(scored, f"k {kind}, score double").withColumnRenamed("k", key)
+    return common.mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), scored, f"k {kind}, score double").withColumnRenamed("k", key)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

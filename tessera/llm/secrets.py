@@ -69,7 +69,6 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, blob, findings: array of (s, rule number, e, rule) in order of start, then rule) of every row of docs; the ledger grows."""
     spark = docs.sparkSession
-    common.ship(spark)
     wanted = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
     content = F.coalesce(F.col(text), F.lit(""))
     versions = common.stored(docs.select(F.col(key), F.sha2(content, 256).alias("blob"), F.xxhash64(F.col(key)).alias("_at")), "secret-versions")
@@ -87,7 +86,7 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, *,
             shrink = zstandard.ZstdCompressor(level=1).compress
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([shrink(x) for x in raw], pa.binary())], ["_at", "blob", "z"])
 
-    rows = docs.select(F.xxhash64(F.col(key)).alias("_at"), F.col(text).alias("t")).mapInArrow(packed, "_at long, blob string, z binary")
+    rows = common.mapped(docs.select(F.xxhash64(F.col(key)).alias("_at"), F.col(text).alias("t")), packed, "_at long, blob string, z binary")
     rows = rows.join(todo.hint("shuffle_hash"), ["blob", "_at"]).select("blob", "done", "z")
     by_name = {r.name: r for r in rules}
 
@@ -104,7 +103,7 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, *,
             kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["blob", "rule", "version", "spans"])
 
-    fresh = rows.mapInArrow(run, LEDGER).groupBy("blob", "rule", "version").agg(F.first("spans").alias("spans"))
+    fresh = common.mapped(rows, run, LEDGER).groupBy("blob", "rule", "version").agg(F.first("spans").alias("spans"))
     fresh.write.parquet(f"{ledger_path.rstrip('/')}/scan-{uuid.uuid4().hex}")
     number = F.array_position(F.array(*[F.lit(r.name) for r in rules]), F.col("rule"))
     found = ledger(spark, ledger_path).join(F.broadcast(wanted), ["rule", "version"]).where("size(spans) > 0").join(blobs.select("blob"), "blob", "left_semi")

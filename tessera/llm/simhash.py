@@ -64,7 +64,6 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp) of every row; fp is the fingerprint as a signed long."""
-    common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +72,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own)], ["k", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return common.mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -116,7 +115,7 @@ def full_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             both = np.unique(np.stack([heads[edge], fp[edge]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return rows.mapInArrow(stars, "a long, b long")
+    return common.mapped(rows, stars, "a long, b long")
 
 
 def half_links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
@@ -176,13 +175,11 @@ def half_links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> Data
             new[1:] = v[1:] != v[:-1]
             yield from settle(fp, new)
 
-    return rows.mapInArrow(meet, "a long, b long, crowded boolean")
+    return common.mapped(rows, meet, "a long, b long, crowded boolean")
 
 
 def components(prints: DataFrame, *, key: str = "doc_id", radius: int = RADIUS, halves: bool = True, crowd: int = CROWD) -> DataFrame:
     """(fp, component_id) for every distinct fp of prints (key, fp): the smallest key of all fingerprints reachable."""
-    spark = prints.sparkSession
-    common.ship(spark)
     fps = common.stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-fp")
     if halves:
         met = common.stored(half_links(fps.select("fp"), radius, crowd).distinct(), "simhash-met")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common
 from tessera.llm.quality import training_rows
@@ -71,16 +72,20 @@ def grams(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 def present(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) pairs, each once.  wanted: a flag for each bucket, or None for all."""
-    docs, codes = [], []
-    for n in N_GRAMS:
-        place, code = grams(buf, off, n)
-        if wanted is not None:
-            hit = wanted[code]
-            place, code = place[hit], code[hit]
-        docs.append(np.searchsorted(off, place, side="right") - 1)
-        codes.append(code)
-    both = np.unique((np.concatenate(docs) << BITS) | np.concatenate(codes))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    found = [np.zeros(0, np.int64)]
+    for a in range(0, len(buf), common.STRETCH):  # long texts in stretches, each with the bytes that its last grams need
+        b = min(len(buf), a + common.STRETCH + max(N_GRAMS) - 1)
+        own = np.concatenate([[a], off[np.searchsorted(off, a, side="right") : np.searchsorted(off, b, side="left")], [b]]) - a
+        both = []
+        for n in N_GRAMS:
+            place, code = grams(buf[a:b], own, n)
+            here = place < common.STRETCH
+            if wanted is not None:
+                here &= wanted[code]
+            both.append(((np.searchsorted(off, place[here] + a, side="right") - 1) << BITS) | code[here])
+        found.append(np.unique(np.concatenate(both)))
+    every = np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
+    return every >> BITS, every & ((1 << BITS) - 1)
 
 
 @dataclass
@@ -141,8 +146,6 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
 
     The driver gets one row for each bucket (at most 2**BITS) and the chosen buckets of at most max_train documents.
     """
-    spark = docs.sparkSession
-    common.ship(spark)
     rows = training_rows(labels, key, label, keep, max_train)
     own = common.stored(docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(rows), "_k").select("_y", "text"), "toxicity-train")
 
@@ -159,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
         some = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[0][some], seen[0])), pa.array(np.append(sums[1][some], seen[1]))], ["bucket", "n0", "n1"])
 
-    table = common.stored(own.mapInArrow(counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-counts")
+    table = common.stored(common.mapped(own, counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-counts")
     n = [int(x or 0) for x in table.where("bucket < 0").agg(F.sum("n0"), F.sum("n1")).first()]
     log_ratio = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
     rated = table.where(f"bucket >= 0 and n0 + n1 >= {MIN_DOCS}").withColumn("ratio", log_ratio).select("bucket", "ratio", (F.abs("ratio") / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))).alias("sure"))
@@ -182,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
                 lists = np.split(at, np.searchsorted(doc, np.arange(1, part.num_rows)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int32()))], ["y", "at"])
 
-    sample = own.mapInArrow(chosen, "y int, at array<int>").limit(max_train).toArrow()
+    sample = common.mapped(own, chosen, "y int, at array<int>").orderBy(F.xxhash64("at"), "y").limit(max_train).toArrow()  # repeated ids have more rows than labels
     lists = sample.column("at").combine_chunks()
     y = sample.column("y").to_numpy().astype(int)
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
@@ -192,8 +195,6 @@ def train(docs: DataFrame, labels: DataFrame, keep, *, key: str = "doc_id", text
 
 def score(docs: DataFrame, model: Linear, *, text: str = "text", to: str = "score") -> DataFrame:
     """docs with one more column, the score; all rows and columns stay.  A column of the new one's name is replaced."""
-    spark = docs.sparkSession
-    common.ship(spark)
     wanted = model.wanted()
     docs = docs.drop(to)
     place = docs.columns.index(text)
@@ -204,9 +205,7 @@ def score(docs: DataFrame, model: Linear, *, text: str = "text", to: str = "scor
                 s = model.score(*common.utf8(part.column(place)), wanted)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*part.schema.names, to])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return common.mapped(docs, scored, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
