@@ -185,14 +185,17 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0, most: float | None = None) -> DataFrame:
-    """docs with n_tokens, domain_posterior (name:share of each domain), rate and copies added (such columns are replaced)."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0, most: float | None = None, carry: list[str] | None = None) -> DataFrame:
+    """docs with n_tokens, domain_posterior (name:share of each domain), rate and copies added (such columns are replaced).
+
+    carry: the columns of docs that are wanted, all if None.  The posteriors are worked out once: the rows are stored with them, and the
+    fit reads that column alone."""
     model = train(docs, labelled, key=key, text=text, domain=domain, named=targets or TARGETS)
     docs = docs.drop("n_tokens", "domain_posterior", "rate", "copies")
     scored = posteriors(docs, model, text=text)
-    table = common.stored(posteriors(docs.select(text), model, text=text).select("_mix.n_tokens", "_mix.posterior"), "mixing")
-    rate = fit_rates(table, model.names, targets or TARGETS, least=least, most=most)
-    shares = F.concat_ws(",", *[F.concat(F.lit(f"{n}:"), F.format_number(F.element_at("_mix.posterior", k + 1), 6)) for k, n in enumerate(model.names)])
+    scored = common.stored(scored if carry is None else scored.select(*carry, "_mix"), "mixing")
+    rate = fit_rates(scored.select("_mix.n_tokens", "_mix.posterior"), model.names, targets or TARGETS, least=least, most=most)
+    shares = F.concat_ws(",", *[F.concat(F.lit(f"{n}:"), F.element_at("_mix.posterior", k + 1).cast("string")) for k, n in enumerate(model.names)])
     scored = scored.withColumn("rate", rate(F.col("_mix.n_tokens"), F.col("_mix.posterior")))
     return scored.withColumns({"n_tokens": F.col("_mix.n_tokens"), "domain_posterior": shares, "copies": copies(F.col("rate"), F.col(key))}).drop("_mix")
 
@@ -204,4 +207,4 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    return mix(docs, labelled_languages(docs, labels)).select("doc_id", "source", "n_tokens", "domain_posterior", "rate", "copies")
+    return mix(docs, labelled_languages(docs, labels), carry=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "domain_posterior", "rate", "copies")
