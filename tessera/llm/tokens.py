@@ -6,7 +6,8 @@ bits before every RANK-th place of a bitmap, so that the place of any id on the
 a count over fewer than RANK bits: token i is read without decoding any other, and the ids of a
 range lie in one run on every level.
 
-Files: a Parquet folder, one row a segment of whole documents (SEGMENT ids or one document), written by Spark's commit
+Files: a Parquet folder, one row a segment of whole documents (SEGMENT ids or one document), uncompressed, in row groups of about GROUP
+bytes with the statistics of shard and segment, so that a reader of a few places opens few of them; written by Spark's commit
 protocol, so lost executors leave no half files.  Columns: shard and segment (both ascend with the documents' order),
 shard_start (ids of the shard before the segment), doc_ids, bounds (first id of each document within the segment, and
 the end), payload (the codes, see `pack`).  Shards are ranges of ascending key; null keys come first, equal keys stand
@@ -35,7 +36,10 @@ from tessera.llm import common
 
 BITS = 8
 RANK = 512
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16
+GROUP = 1 << 20
+#: Segments that a lookup names to the scan one by one; more are joined.
+NAMED = 1_000
 END_ID = 2
 #: Distinct pieces of text whose ids a worker remembers.
 CACHE = 800_000
@@ -185,7 +189,6 @@ SEGMENTS = "shard int, segment int, shard_start long, doc_ids array<long>, bound
 def write_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, segment: int = SEGMENT, shards: int | None = None) -> None:
     """Encode every text, append end_id and write the folder at path.  The key is an integer column."""
     spark = docs.sparkSession
-    common.ship(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards, "k").sortWithinPartitions("k", "text")
@@ -214,7 +217,7 @@ def write_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         if keys:
             yield close()
 
-    rows.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    common.mapped(rows, run, SEGMENTS).write.options(**{"compression": "uncompressed", "parquet.block.size": GROUP, "parquet.page.size": GROUP}).parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -229,7 +232,6 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, and its ids if wanted."""
-    common.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,20 +247,29 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    docs = spark.read.schema(SEGMENTS).parquet(path).mapInArrow(run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    docs = common.mapped(spark.read.schema(SEGMENTS).parquet(path), run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
     docs = docs.join(F.broadcast(shard_starts(spark, path)), "shard")
     return docs.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def tokens_at(spark: SparkSession, path: str, places: DataFrame, place: str = "place") -> DataFrame:
-    """(place, id): the ids at the given places among all ids, each read by itself; places beyond the end give no row."""
-    common.ship(spark)
-    parts = spark.read.schema(SEGMENTS).parquet(path).join(F.broadcast(shard_starts(spark, path)), "shard")
-    parts = parts.select("shard", "segment", (F.col("first") + F.col("shard_start")).alias("a"), F.element_at("bounds", -1).alias("n"), "payload")
+    """(place, id): the ids at the given places among all ids, each read by itself; places beyond the end give no row.
+
+    A place's segment is found by the columns beside the payload; of the payloads only those row groups are read that hold
+    a wanted segment, where these are few enough to be named."""
+    files = spark.read.schema(SEGMENTS).parquet(path)
+    parts = files.select("shard", "segment", "shard_start", F.element_at("bounds", -1).alias("n")).join(F.broadcast(shard_starts(spark, path)), "shard")
+    parts = parts.select("shard", "segment", (F.col("first") + F.col("shard_start")).alias("a"), "n")
     step = parts.agg(F.max("n")).first()[0] or 1
     wanted = places.select(F.col(place).cast("long").alias("place"), F.explode(F.array(F.floor(F.col(place) / step), F.floor(F.col(place) / step) - 1)).alias("cell"))
-    wanted = wanted.join(parts.select("shard", "segment", "a", "n", F.floor(F.col("a") / step).alias("cell")), "cell").where("place >= a and place < a + n")
-    wanted = wanted.groupBy("shard", "segment").agg(F.collect_list("place").alias("places"))
+    wanted = wanted.join(parts.withColumn("cell", F.floor(F.col("a") / step)), "cell").where("place >= a and place < a + n")
+    wanted = common.stored(wanted.groupBy("shard", "segment", "a").agg(F.collect_list("place").alias("places")), "token-places")
+    named = wanted.select("shard", "segment").limit(NAMED + 1).collect()
+    if len(named) <= NAMED:
+        match = F.lit(False)
+        for shard in sorted({r["shard"] for r in named}):
+            match = match | ((F.col("shard") == shard) & F.col("segment").isin([r["segment"] for r in named if r["shard"] == shard]))
+        files = files.where(match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +277,7 @@ def tokens_at(spark: SparkSession, path: str, places: DataFrame, place: str = "p
                 codes = Codes(row["payload"])
                 yield pa.RecordBatch.from_arrays([pa.array(row["places"], pa.int64()), pa.array([codes[p - row["a"]] for p in row["places"]], pa.int64())], ["place", "id"])
 
-    return parts.join(wanted, ["shard", "segment"]).select("a", "payload", "places").mapInArrow(run, "place long, id long")
+    return common.mapped(files.select("shard", "segment", "payload").join(wanted, ["shard", "segment"]).select("a", "payload", "places"), run, "place long, id long")
 
 
 def op7_tokens(spark, sf_dir: str) -> DataFrame:
