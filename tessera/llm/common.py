@@ -24,6 +24,8 @@ BATCH_BYTES = 4 << 20
 _BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _shipped: set[str] = set()
+#: What this worker remembers from one task to the next, by name: functions that forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,12 +48,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) on executors that have this package; a task's freed memory goes back to the machine when it ends, as
-    its worker lives on for other tasks."""
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, *, keep: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema) on executors that have this package.
+
+    A worker lives on for other tasks, so a task's freed memory goes back to the machine when it ends, and what earlier tasks of
+    other kinds remembered is forgotten when it begins; keep: the name of what this kind remembers."""
     ship(df.sparkSession)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in REMEMBERED.items():
+            if name != keep:
+                forget()
         try:
             yield from run(batches)
         finally:

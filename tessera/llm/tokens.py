@@ -140,6 +140,9 @@ def _tokenizer(path: str):
     return own, {}, own.encode("\n", add_special_tokens=False).ids
 
 
+common.REMEMBERED["pieces"] = _tokenizer.cache_clear
+
+
 def _path(tokenizer: str) -> str:
     """A file's own path, or the place of a public vocabulary on the machine that asks."""
     if os.path.isabs(tokenizer):
@@ -217,7 +220,7 @@ def write_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         if keys:
             yield close()
 
-    common.mapped(rows, run, SEGMENTS).write.options(**{"compression": "uncompressed", "parquet.block.size": GROUP, "parquet.page.size": GROUP}).parquet(path)
+    common.mapped(rows, run, SEGMENTS, keep="pieces").write.options(**{"compression": "uncompressed", "parquet.block.size": GROUP, "parquet.page.size": GROUP}).parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
