@@ -6,6 +6,7 @@ large as the graph are for small graphs; the DataFrame operators behind them tak
 
 from __future__ import annotations
 
+import itertools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,13 @@ from tessera.sources import store
 
 
 class GraphSession:
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        """An empty graph, or the newest version of the store at path (empty if there is none); its log is replayed."""
+    def __init__(self, spark: SparkSession, path: str | None = None, recover: bool = True):
+        """An empty graph, or the newest version of the store at path (empty if there is none); its log is replayed if recover."""
         self.spark, self.store, self._staged = spark, None if path is None else store.GraphStore(spark, path), []
+        self._changes, self._saved, self._kept = 0, 0, {}
         if self.store is not None:
-            self.store.recover()
+            if recover:
+                self.store.recover()
             self._graph = self.store.snapshot()
         else:
             self._graph = PropertyGraph(spark.createDataFrame([], "id long, props string"), spark.createDataFrame([], "src long, dst long, eid long, weight double, props string"))
@@ -31,9 +34,22 @@ class GraphSession:
     def open(cls, spark: SparkSession, path: str) -> GraphSession:
         return cls(spark, path)
 
+    @classmethod
+    def open_read_only(cls, spark: SparkSession, path: str) -> GraphSession:
+        """The newest version as it is: the log is left alone, and changes can't be saved to the path."""
+        own = cls(spark, path, recover=False)
+        own.store = None
+        return own
+
+    @property
+    def unsaved(self) -> bool:
+        """Whether anything was changed since the graph was opened or saved."""
+        return self._changes != self._saved
+
     def _stage(self, op: str, **values) -> None:
-        row = {"op": op, "id": None, "src": None, "dst": None, "weight": None, "props": None, "tx": "0", "seq": len(self._staged)} | values
+        row = {"op": op, "id": None, "src": None, "dst": None, "weight": None, "props": None, "tx": "0", "seq": len(self._staged), "at": 0} | values
         self._staged.append(tuple(row.values()))
+        self._changes += 1
 
     @property
     def graph(self) -> PropertyGraph:
@@ -123,24 +139,33 @@ class GraphSession:
     def _map(df: DataFrame, value: str) -> dict:
         return {r["id"]: r[value] for r in df.collect()}
 
+    def _memo(self, name: str, compute, *options) -> DataFrame:
+        """compute(), stored once for this state of the graph and these options; any change drops all such results."""
+        g = self.graph
+        if self._kept.get("at") != self._changes:
+            self._kept = {"at": self._changes}
+        if (name, options) not in self._kept:
+            self._kept[name, options] = cut(compute(g))
+        return self._kept[name, options]
+
     def pagerank(self, iterations: int = 100, damping: float = 0.85) -> dict[int, float]:
-        return self._map(ranking.pagerank(self.graph, iterations, damping), "score")
+        return self._map(self._memo("pagerank", lambda g: ranking.pagerank(g, iterations, damping), iterations, damping), "score")
 
     def wave_core(self) -> dict[int, int]:
-        return self._map(structure.cores(self.graph), "core")
+        return self._map(self._memo("cores", structure.cores), "core")
 
     def tarjan_scc(self) -> list[list[int]]:
-        rows = structure.strongly_connected_components(self.graph).groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        return [r["ids"] for r in rows.orderBy("label").collect()]
+        rows = self._memo("scc", structure.strongly_connected_components).orderBy("label", "id").collect()
+        return [[r["id"] for r in own] for _, own in itertools.groupby(rows, key=lambda r: r["label"])]
 
     def betweenness(self, num_sources: int | None = 256) -> dict[int, float]:
-        return self._map(structure.betweenness(self.graph, num_sources or 256), "score")
+        return self._map(self._memo("betweenness", lambda g: structure.betweenness(g, num_sources or 256), num_sources or 256), "score")
 
-    def louvain(self, resolution: float = 0.25) -> dict[int, int]:
-        return self._map(communities.louvain(self.graph, resolution)[0], "label")
+    def louvain(self, resolution: float = 1.0) -> dict[int, int]:
+        return self._map(self._memo("louvain", lambda g: communities.louvain(g, resolution)[0], resolution), "label")
 
     def bfs(self, source: int, max_depth: int | None = None) -> dict[int, int]:
-        return self._map(traverse.bfs(self.graph, self._ids(source), max_depth), "dist")
+        return self._map(self._memo("bfs", lambda g: traverse.bfs(g, self._ids(source), max_depth), source, max_depth), "dist")
 
     def walk(self, start: int, max_depth: int) -> list[int]:
         return [r["id"] for r in traverse.bfs(self.graph, self._ids(start), max_depth).orderBy("dist", "id").collect()]
@@ -162,7 +187,9 @@ class GraphSession:
         """Publish a version; its number."""
         if self.store is None:
             raise RuntimeError("this graph has no path; use save_to")
-        return self.store.publish(self.graph)
+        out = self.store.publish(self.graph)
+        self._saved = self._changes
+        return out
 
     def save_to(self, path: str) -> int:
         return store.GraphStore(self.spark, path).publish(self.graph)

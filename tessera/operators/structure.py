@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.arcs import Arcs, draw, relax
 from tessera.operators.components import component_labels
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import Rounds, cut
+from tessera.plans.iterate import Grown, Rounds, Stored, cut, numbered
 
 
 def connected_components(g: PropertyGraph) -> DataFrame:
@@ -17,97 +18,103 @@ def connected_components(g: PropertyGraph) -> DataFrame:
     return g.vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def _spread(arcs: DataFrame, state: DataFrame) -> DataFrame:
-    """Smallest colour that reaches each vertex along arcs (src, dst); state (id, colour) is the start."""
-    rounds = Rounds()
-    while True:
-        offer = arcs.join(state.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("c"))
-        state = rounds.cut(state.join(offer, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
-        if not state.where("moved").take(1):
-            return state.select("id", "colour")
-        state = state.select("id", "colour")
+def _spread(arcs: Arcs, start: DataFrame, jump: bool = True) -> DataFrame:
+    """(id, value): the smallest value of start (id, value) that reaches each vertex along arcs."""
+    return relax(arcs, start.withColumn("parent", F.lit(None).cast("long")), lambda v: v, jump=jump).select("id", "value")
 
 
 def strongly_connected_components(g: PropertyGraph) -> DataFrame:
     """(id, label): label is the smallest id of the strongly connected component.
 
     Rounds of trimming (a vertex without in- or out-edges is a component) and colouring: the smallest id spreads
-    forwards; what can reach a colour's root within the colour is the root's component.  All colours settle at once."""
-    left = cut(g.vertices.select("id").distinct())
-    arcs = cut(g.pairs(loops=False).select("src", "dst"))
-    done: list[DataFrame] = []
-    while left.take(1):
-        while True:
-            live = arcs.select(F.col("src").alias("id")).distinct().join(arcs.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-            single = cut(left.join(live, "id", "left_anti"))
-            if not single.take(1):
+    forwards, by jumps over what is coloured already; what can reach a colour's root within the colour is the root's component.  All colours settle at once."""
+    arcs = Stored(g.pairs(loops=False).select("src", "dst"), F.count("*").alias("n"))
+    ends = arcs.df.select(F.col("src").alias("id")).unionByName(arcs.df.select(F.col("dst").alias("id"))).distinct()
+    done = Grown()
+    alone = lambda df: df.select("id", F.col("id").alias("label"))
+    done.add(alone(g.vertices.select("id").distinct().join(ends, "id", "left_anti")))
+
+    def without(gone: DataFrame) -> Stored:
+        nonlocal arcs
+        old, arcs = arcs, Stored(arcs.df.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), F.count("*").alias("n"))
+        # an end that loses its last edge by this is a component of its own
+        ends = lambda t: t.select(F.col("src").alias("id")).unionByName(t.select(F.col("dst").alias("id"))).distinct()
+        done.add(alone(ends(old.df).join(gone, "id", "left_anti").join(ends(arcs.df), "id", "left_anti")))
+        old.drop()
+
+    while arcs.seen.get("n", 0):
+        while arcs.seen.get("n", 0):
+            into, out = arcs.df.select(F.col("dst").alias("id")).distinct(), arcs.df.select(F.col("src").alias("id")).distinct()
+            single = Stored(into.join(out, "id", "left_anti").unionByName(out.join(into, "id", "left_anti")), F.count("*").alias("n"))
+            if not single.seen.get("n", 0):
                 break
-            done.append(single.select("id", F.col("id").alias("label")))
-            left = cut(left.join(single, "id", "left_anti"))
-            arcs = cut(arcs.join(single.withColumnRenamed("id", "src"), "src", "left_anti").join(single.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-        if not left.take(1):
+            done.add(alone(single.df))
+            without(single.df)
+        if not arcs.seen.get("n", 0):
             break
-        colour = _spread(arcs, left.select("id", F.col("id").alias("colour")))
-        of = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"c_{end}"))
-        back = cut(arcs.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        inf = F.lit((1 << 63) - 1)
-        reached = _spread(back, colour.select("id", F.when(F.col("id") == F.col("colour"), F.col("colour")).otherwise(inf).alias("colour"))).where(F.col("colour") < inf)
-        found = cut(reached.select("id", F.col("colour").alias("label")))
-        done.append(found)
-        gone = found.select("id")
-        left = cut(left.join(gone, "id", "left_anti"))
-        arcs = cut(arcs.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    if not done:
-        return g.vertices.select("id", F.col("id").alias("label")).limit(0)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        ways = Arcs(arcs.df)
+        colour = Stored(_spread(ways, arcs.df.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("value")))).df
+        ways.drop()
+        of = lambda end: colour.select(F.col("id").alias(end), F.col("value").alias(f"c_{end}"))
+        back = Arcs(arcs.df.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = _spread(back, colour.where("id = value"), jump=False)
+        found = done.add(reached.select("id", F.col("value").alias("label")))[0]
+        back.drop()
+        without(found.select("id"))
+    return done.df
 
 
 def cores(g: PropertyGraph) -> DataFrame:
     """(id, core) by peeling: out-degrees count down as predecessors go; loops don't count down.
 
-    Level k removes every vertex whose rest is at most k, wave by wave; levels without a vertex are skipped."""
-    arcs = g.pairs(loops=False).persist()
-    state = cut(g.degrees().select("id", F.col("out_degree").alias("rest")))
-    done: list[DataFrame] = []
-    level = 0
-    while True:
-        low = state.agg(F.min("rest")).first()[0]
-        if low is None:
+    Level k removes every vertex whose rest is at most k, wave by wave; levels without a vertex are skipped.  A wave writes what it
+    removes and what is left.  Now and then it is looked whether any arc is left between what is left; if not, nothing counts down any more."""
+    arcs = Arcs(g.pairs(loops=False))
+    done, rounds = Grown(), Rounds(arcs.by)
+    low = F.min("rest").alias("low")
+    state, seen = rounds.observed(g.degrees().select("id", F.col("out_degree").alias("rest")), low)
+    level = wave = 0
+    done.add(state.select("id", F.lit(0).cast("long").alias("core")).limit(0))
+    while seen.get("low") is not None:
+        level, wave = max(level, seen["low"]), wave + 1
+        if wave > 1 and wave & (wave - 1) == 0 and not arcs.send(state.select("id")).join(state.select(F.col("id").alias("dst")), "dst", "left_semi").take(1):
+            done.add(state.select("id", F.greatest("rest", F.lit(level).cast("long")).alias("core")))
             break
-        level = max(level, low)
-        gone = cut(state.where(F.col("rest") <= level).select("id", F.lit(level).cast("long").alias("core")))
-        done.append(gone)
-        fewer = gone.select(F.col("id").alias("src")).join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("k"))
-        state = cut(state.join(gone.select("id"), "id", "left_anti").join(fewer, "id", "left").select("id", (F.col("rest") - F.coalesce("k", F.lit(0))).alias("rest")))
-    arcs.unpersist()
-    if not done:
-        return g.vertices.select("id", F.lit(0).cast("long").alias("core")).limit(0)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def k_core(g: PropertyGraph) -> DataFrame:
+        gone = done.add(state.where(F.col("rest") <= level).select("id", F.lit(level).cast("long").alias("core")))[0]
+        fewer = arcs.send(gone.select("id")).groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("k"))
+        state, seen = rounds.observed(state.where(F.col("rest") > level).join(fewer, "id", "left").select("id", (F.col("rest") - F.coalesce("k", F.lit(0))).alias("rest")), low)
+    arcs.drop()
+    rounds.close()
+    return done.df
+
+
+def k_core(g: PropertyGraph, start: DataFrame | None = None) -> DataFrame:
     """(id, core): undirected core numbers, as the fixpoint of neighbours' h-indices from the degrees down.
 
-    A vertex's h-index is taken over its counts by value, so a hub needs a row for each different value only."""
-    arcs = g.mirrored().repartition("src").persist()
-    degree = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
-    rounds = Rounds()
-    state = rounds.cut(g.vertices.select("id").join(degree, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core")))
+    A vertex's h-index is taken over its neighbours' counts by value, each value cut to the vertex's own, so a hub needs a row for each
+    different value only.  From the second round on only neighbours of what fell are looked at.
+    start: values (id, core) that are nowhere below the core numbers, to begin with instead of the degrees."""
+    arcs = Arcs(g.mirrored())
+    own = arcs.df.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
+    if start is not None:
+        own = own.join(start.select("id", F.col("core").alias("most")), "id", "left").select("id", F.least("core", F.coalesce("most", "core")).alias("core"))
+    rounds = Rounds(arcs.by)
+    first = g.vertices.select("id").join(own, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"), F.lit(True).alias("moved"))
     down = W.partitionBy("id").orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0)
-    while True:
-        counts = state.select(F.col("id").alias("src"), F.col("core").alias("v")).join(arcs, "src").groupBy(F.col("dst").alias("id"), "v").agg(F.count("*").alias("n"))
+    fell, every = F.count(F.when(F.col("moved"), 1)).alias("n"), F.count("*").alias("all")
+    state, seen = rounds.observed(first, fell, every)
+    while seen.get("n", 0):
+        if 8 * seen["n"] > seen["all"]:  # most vertices have a neighbour that fell
+            near = arcs.send(state.select("id", F.col("core").alias("v"))).join(state.select(F.col("id").alias("dst"), F.col("core").alias("own")), "dst").select(F.col("dst").alias("id"), "own", "v")
+        else:
+            lower = arcs.send(state.where("moved").select("id", F.col("core").alias("v"))).join(state.select(F.col("id").alias("dst"), "core"), "dst").where("v < core")
+            touched = lower.select(F.col("dst").alias("id"), F.col("core").alias("own")).distinct()
+            near = arcs.send(touched).join(state.select(F.col("id").alias("dst"), F.col("core").alias("v")), "dst").select(F.col("src").alias("id"), "own", "v")
+        counts = near.groupBy("id", F.least("v", "own").alias("v")).agg(F.count("*").alias("n"))
         index = counts.select("id", F.least("v", F.sum("n").over(down)).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
-        state = rounds.cut(state.join(index, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.col("core") > F.coalesce("h", F.lit(0))).alias("moved")))
-        if not state.where("moved").take(1):
-            break
-        state = state.select("id", "core")
-    arcs.unpersist()
+        new = state.join(index, "id", "left").select("id", F.least("core", F.coalesce("h", "core")).alias("core"), (F.coalesce("h", "core") < F.col("core")).alias("moved"))
+        state, seen = rounds.observed(new, fell, every)
+    arcs.drop()
     return state.select("id", "core")
 
 
@@ -132,12 +139,14 @@ def edge_support(g: PropertyGraph) -> DataFrame:
 
 
 def directed_triangles(g: PropertyGraph) -> DataFrame:
-    """(a, b, c) of undirected triangles with a vertex that has out-edges to both others."""
+    """(a, b, c) of undirected triangles with a vertex that has out-edges to both others: the triangles are found from the lower
+    degrees up, then their directed sides are looked up, so no hub pairs its neighbours."""
     arcs = g.pairs(loops=False).select("src", "dst")
-    fork = arcs.select("src", F.col("dst").alias("x")).join(arcs.select("src", F.col("dst").alias("y")), "src").where("x < y")
-    closed = fork.join(g.undirected().select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"])
-    t = F.array_sort(F.array("src", "x", "y"))
-    return closed.select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c")).distinct()
+    sides = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    found = triangles(g.undirected())
+    both = found.select("a", "b", "c", F.explode(F.array(*[sides(x, y) for x in "abc" for y in "abc" if x != y])).alias("s")).select("a", "b", "c", "s.*")
+    out = both.join(arcs, ["src", "dst"], "left_semi").groupBy("a", "b", "c", "src").agg(F.count("*").alias("n"))
+    return out.where("n = 2").select("a", "b", "c").distinct()
 
 
 def clustering(g: PropertyGraph, only: DataFrame | None = None) -> DataFrame:
@@ -157,39 +166,40 @@ def clustering(g: PropertyGraph, only: DataFrame | None = None) -> DataFrame:
 def betweenness(g: PropertyGraph, sources: int | None = 256, directed: bool = True, include_source: bool = True, scale: str = "sampled", seed: int = 42, batch: int = 64) -> DataFrame:
     """(id, score) by Brandes' levels for all sources of a batch at once.
 
-    sources: how many (all if None or at least V), those with the smallest hashes of (id, seed).  Counts of shortest
+    sources: how many (all if None or at least V), those with the smallest `draw`s of (id, seed).  Counts of shortest
     paths multiply parallel edges; loops are skipped.  include_source adds a source's own dependency.
     scale: "sampled" (V / k) / ((V - 1)(V - 2)), "half" V / k / 2, "exact" 2 / ((V - 1)(V - 2)), "none" 1."""
-    arcs = (g.pairs(loops=False) if directed else g.mirrored().withColumn("n", F.lit(1).cast("long"))).persist()
+    arcs = Arcs(g.pairs(loops=False) if directed else g.mirrored().withColumn("n", F.lit(1).cast("long")))
+    back = arcs if not directed else Arcs(arcs.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     n = g.vertices.count()
     k = n if sources is None else min(sources, n)
-    chosen = cut(g.vertices.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-k // batch))))))
-    parts: list[DataFrame] = []
-    for part in range(max(1, -(-k // batch))):
-        seen = cut(chosen.where(F.col("part") == part).select(F.col("id").alias("s"), "id", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
-        levels = [seen]
-        while True:
-            step = levels[-1].select("s", F.col("id").alias("src"), "paths").join(arcs, "src").groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("paths") * F.col("n")).alias("paths"))
-            new = cut(step.join(seen.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(len(levels)).alias("level"), "paths"))
-            if not new.take(1):
-                break
-            levels.append(new)
-            seen = seen.unionByName(new)
-        below = None
-        for level in reversed(levels):
+    batches = max(1, -(-k // batch))
+    chosen = cut(numbered(g.vertices.select("id", F.struct(draw("id", seed), F.col("id")).alias("_o")).orderBy("_o").limit(k), "_o", "part").select("id", F.pmod("part", F.lit(batches)).alias("part")))
+    scores = Grown()
+    scores.add(g.vertices.select("id", F.lit(0.0).alias("delta")).limit(0))
+    for part in range(batches):
+        seen = Grown()
+        level = seen.add(chosen.where(F.col("part") == part).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"), F.lit(0).alias("level")), F.count("*").alias("n"))
+        depth = 0
+        while level[1].get("n", 0):
+            depth += 1
+            step = arcs.send(level[0].select("id", "s", "paths")).groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("paths") * F.col("n")).alias("paths"))
+            level = seen.add(step.join(seen.df.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", "paths", F.lit(depth).alias("level")), F.count("*").alias("n"))
+        every, below = Stored(seen.df.repartition("level", "s", "id")) if depth > Grown.MOST else None, None
+        rows = seen.df if every is None else every.df
+        for at in range(depth - 1, -1, -1):
+            own = rows.where(F.col("level") == at)
             if below is None:
-                own = level.select("s", "id", "paths", F.lit(0.0).alias("delta"))
+                own = own.select("s", "id", "paths", F.lit(0.0).alias("delta"))
             else:
-                back = below.select("s", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("paths")).alias("unit")).join(arcs, "dst").select("s", F.col("src").alias("id"), (F.col("unit") * F.col("n")).alias("unit"))
-                up = back.groupBy("s", "id").agg(F.sum("unit").alias("unit"))
-                own = level.join(up, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("unit", F.lit(0.0))).alias("delta"))
-            below = cut(own)
-            parts.append(below if include_source else below.where("s <> id"))
-    arcs.unpersist()
-    scores = parts[0].select("id", "delta") if parts else g.vertices.select("id", F.lit(0.0).alias("delta")).limit(0)
-    for p in parts[1:]:
-        scores = scores.unionByName(p.select("id", "delta"))
-    scores = scores.groupBy("id").agg(F.sum("delta").alias("x"))
+                up = back.send(below.select("id", "s", ((1 + F.col("delta")) / F.col("paths")).alias("unit"))).groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("unit") * F.col("n")).alias("unit"))
+                own = own.join(up, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("unit", F.lit(0.0))).alias("delta"))
+            below = Stored(own).df
+            scores.add((below if include_source else below.where("s <> id")).groupBy("id").agg(F.sum("delta").alias("delta")))
+    arcs.drop()
+    if back is not arcs:
+        back.drop()
+    total = scores.df.groupBy("id").agg(F.sum("delta").alias("x"))
     pairs = float((n - 1) * (n - 2)) if n > 2 else 1.0
     factor = {"sampled": (n / k if k else 0.0) / pairs, "half": (n / k if k else 0.0) / 2, "exact": 2.0 / pairs, "none": 1.0}[scale]
-    return g.vertices.select("id").join(scores, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) * F.lit(factor)).alias("score"))
+    return g.vertices.select("id").join(total, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) * F.lit(factor)).alias("score"))

@@ -9,30 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.arcs import Arcs, relax
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import Rounds, cut
+from tessera.plans.iterate import Grown, Stored, cut
 
 
-def _pairs(g: PropertyGraph, directed: bool) -> DataFrame:
-    return (g.pairs().select("src", "dst") if directed else g.mirrored()).persist()
+def _pairs(g: PropertyGraph, directed: bool) -> Arcs:
+    return Arcs(g.pairs().select("src", "dst") if directed else g.mirrored())
 
 
 def bfs(g: PropertyGraph, sources: DataFrame, max_depth: int | None = None, directed: bool = True) -> DataFrame:
     """(id, dist, parent): hops from the nearest source; parent is the smallest predecessor on a shortest path.
 
-    Unreachable vertices and sources that are no vertices are absent."""
-    pairs = _pairs(g, directed)
-    seen = cut(sources.select("id").distinct().join(g.vertices.select("id"), "id", "left_semi").select("id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("parent")))
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.select(F.col("id").alias("src")).join(pairs, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).cast("long").alias("dist"), "parent"))
-        if not frontier.take(1):
-            break
-        seen = seen.unionByName(frontier)
-    pairs.unpersist()
-    return seen
+    Unreachable vertices and sources that are no vertices are absent.  A round writes the new level only."""
+    arcs = _pairs(g, directed)
+    start = sources.select("id").distinct().join(g.vertices.select("id"), "id", "left_semi")
+    found = relax(arcs, start.select("id", F.lit(0).cast("long").alias("value"), F.lit(None).cast("long").alias("parent")), lambda v: v + 1, max_rounds=max_depth)
+    arcs.drop()
+    return found.withColumnRenamed("value", "dist")
 
 
 def walk(g: PropertyGraph, start: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
@@ -74,15 +68,17 @@ def limited(rows: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, int]:
 
 def simple_paths(g: PropertyGraph, start: int, end: int, max_depth: int = 5) -> DataFrame:
     """(path): undirected paths without repeats of at most max_depth edges; none if start is end."""
-    pairs = g.mirrored().persist()
-    rows = g.vertex(start).where(F.col("id") != end).select(F.array("id").alias("path"))
-    done = None
+    arcs = _pairs(g, False)
+    done = Grown()
+    rows = Stored(g.vertex(start).where(F.col("id") != end).select(F.array("id").alias("path"))).df
+    done.add(rows.limit(0))
     for _ in range(max_depth):
-        rows = cut(rows.select("path", F.element_at("path", -1).alias("src")).join(pairs, "src").where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path")))
-        hit = rows.where(F.element_at("path", -1) == end)
-        done = hit if done is None else done.unionByName(hit)
+        longer = arcs.send(rows.select(F.element_at("path", -1).alias("id"), "path")).where(~F.array_contains("path", F.col("dst")))
+        rows = Stored(longer.select(F.array_append("path", F.col("dst")).alias("path"))).df
+        done.add(rows.where(F.element_at("path", -1) == end))
         rows = rows.where(F.element_at("path", -1) != end)
-    return done
+    arcs.drop()
+    return done.df
 
 
 def shortest_path(g: PropertyGraph, start: int, end: int, directed: bool = True) -> list[int]:
@@ -102,31 +98,24 @@ def _unwound(tree: DataFrame, end: int) -> list[int]:
     return out[::-1]
 
 
-def sssp(g: PropertyGraph, sources: DataFrame, weight: str = "weight", directed: bool = True, start: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+def sssp(g: PropertyGraph, sources: DataFrame, weight: str = "weight", directed: bool = True, start: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(id, dist, parent): least weight sums, by relaxing the edges of what improved in the round before.
 
     Weights must not be negative.  start: a previous result (id, dist, parent) to go on from; then sources are the
-    vertices whose edges are tested first."""
+    vertices whose edges are tested first.  max_rounds: paths of that many edges at most."""
     own = g.edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
     if not directed:
         own = own.unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    own = own.groupBy("src", "dst").agg(F.min("w").alias("w")).persist()
+    arcs = Arcs(own.groupBy("src", "dst").agg(F.min("w").alias("w")))
+    moved = None
     if start is None:
-        best = cut(sources.select("id").distinct().join(g.vertices.select("id"), "id", "left_semi").select("id", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")))
-        moved = best
+        best = sources.select("id").distinct().join(g.vertices.select("id"), "id", "left_semi").select("id", F.lit(0.0).alias("value"), F.lit(None).cast("long").alias("parent"))
     else:
-        best = cut(start.select("id", F.col("dist").cast("double").alias("dist"), "parent"))
+        best = cut(start.select("id", F.col("dist").cast("double").alias("value"), "parent"))
         moved = best.join(sources.select("id").distinct(), "id", "left_semi")
-    rounds = Rounds()
-    for _ in range(max_rounds):
-        offer = moved.select(F.col("id").alias("src"), "dist").join(own, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("src"))).alias("x"))
-        joined = offer.join(best, "id", "left").where(F.col("dist").isNull() | (F.col("x.d") < F.col("dist")))
-        moved = cut(joined.select("id", F.col("x.d").alias("dist"), F.col("x.src").alias("parent")))
-        if not moved.take(1):
-            break
-        best = rounds.cut(best.join(moved.select("id"), "id", "left_anti").unionByName(moved))
-    own.unpersist()
-    return best
+    found = relax(arcs, best, lambda v: v + F.col("w"), moved, max_rounds)
+    arcs.drop()
+    return found.withColumnRenamed("value", "dist")
 
 
 def shortest_path_weighted(g: PropertyGraph, start: int, end: int, directed: bool = True) -> tuple[list[int], float]:

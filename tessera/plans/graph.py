@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import props as P
+from tessera.plans.iterate import cut, numbered
+
+#: fixed values: the buckets of vertices that lack a property, and of those whose value is no text
+MISSING, NO_TEXT = "(无)", "?"
+
 
 class PropertyGraph:
     def __init__(self, vertices: DataFrame, edges: DataFrame):
@@ -95,7 +101,7 @@ class PropertyGraph:
     def new_vertices(self, rows: DataFrame, order: str) -> PropertyGraph:
         """Add rows without ids; they get the numbers after the largest, in the order of a column."""
         top = self._vertices.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-        return PropertyGraph(self._vertices.unionByName(rows.withColumn("id", (F.lit(top) + F.row_number().over(W.orderBy(order))).cast("long")), allowMissingColumns=True), self._edges)
+        return PropertyGraph(self._vertices.unionByName(numbered(rows, order, "id", top + 1), allowMissingColumns=True), self._edges)
 
     def update_vertices(self, rows: DataFrame) -> PropertyGraph:
         """Replace the properties of vertices that exist; others in rows are ignored."""
@@ -147,6 +153,23 @@ class PropertyGraph:
     def in_edges(self, ids: DataFrame | None = None) -> DataFrame:
         return self.edges if ids is None else self.edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
+    def out_neighbours(self, ids: DataFrame | None = None) -> DataFrame:
+        """(id, neighbour, eid): a row for each out-edge; eid gives the order of a vertex's neighbours."""
+        return self.out_edges(ids).select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "eid")
+
+    def in_neighbours(self, ids: DataFrame | None = None) -> DataFrame:
+        return self.in_edges(ids).select(F.col("dst").alias("id"), F.col("src").alias("neighbour"), "eid")
+
+    def detail(self, v: int, kind: str = "kind") -> tuple[DataFrame, DataFrame]:
+        """The vertex with all its properties, and its edges: (way, kind, n, other, ...) with n, the vertex's edges of that way
+        and kind, the other end's properties as o_..., and the edge's own columns.  A missing kind counts as ""."""
+        out = self.edges.where(F.col("src") == v).withColumns({"way": F.lit("out"), "other": F.col("dst")})
+        into = self.edges.where(F.col("dst") == v).withColumns({"way": F.lit("in"), "other": F.col("src")})
+        rows = out.unionByName(into).withColumn("kind", F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind in self._edges.columns else F.lit(""))
+        rows = rows.join(rows.groupBy("way", "kind").agg(F.count("*").alias("n")), ["way", "kind"])
+        own = self._vertices.select([F.col(c).alias("other" if c == "id" else f"o_{c}") for c in self._vertices.columns])
+        return self.vertex(v), rows.join(own, "other", "left")
+
     def neighbours(self, ids: DataFrame) -> DataFrame:
         """(id, neighbour): distinct, in both directions."""
         both = self._edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).unionAll(self._edges.select("dst", "src"))
@@ -169,7 +192,7 @@ class PropertyGraph:
 
         Ranks are exact over any size: ranges of ids are counted one by one and offset by their predecessors' counts."""
         own = self.degrees().select("id", F.col("out_degree").alias("n")).repartitionByRange("id").withColumn("part", F.spark_partition_id())
-        from tessera.plans.iterate import cut
+
 
         own = cut(own)
         w = W.partitionBy("part").orderBy("id")
@@ -186,8 +209,13 @@ class PropertyGraph:
 
     # ---- queries
 
-    def find_vertices(self, *conditions: Column) -> DataFrame:
-        return self._vertices.where(_all(conditions))
+    def find_vertices(self, *conditions: Column, community: tuple[DataFrame, int] | None = None) -> DataFrame:
+        """community: labels (id, label) and the label that the vertices must have."""
+        own = self._vertices.where(_all(conditions))
+        if community is not None:
+            labels, wanted = community
+            own = own.join(labels.where(F.col("label") == wanted).select("id"), "id", "left_semi")
+        return own
 
     def find_edges(self, *conditions: Column, src: int | None = None, dst: int | None = None) -> DataFrame:
         own = list(conditions)
@@ -213,10 +241,24 @@ class PropertyGraph:
         own = self._vertices.select(value.cast("double").alias("x")).where("x is not null")
         return own.agg(F.count("x").alias("n"), F.sum("x").alias("total"), F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most")).where("n > 0")
 
-    def match(self, binds: list[tuple[str, Column | None]], steps: list[tuple[str, Column | None]], first_only: bool = False) -> DataFrame:
-        """Pattern a - step - b - step - c ...: binds names and vertex predicates, steps ("out" or "in", edge predicate).
+    def group_counts(self, *keys: str) -> DataFrame:
+        """(keys ..., n): vertices by properties, of the map `props` or of text columns.  Vertices that lack one are in the
+        bucket MISSING, those whose value is no text in the bucket NO_TEXT."""
+
+        def bucket(key: str) -> Column:
+            if key not in self._vertices.columns and "props" in self._vertices.columns:
+                c = P.get("props", key)
+                return F.when(c.isNull(), MISSING).when(c["t"] == P.STRING, c["s"]).otherwise(NO_TEXT)
+            text = dict(self._vertices.dtypes)[key] == "string"
+            return F.when(F.col(key).isNull(), MISSING).otherwise(F.col(key) if text else F.lit(NO_TEXT))
+
+        return self._vertices.groupBy(*[bucket(k).alias(k) for k in keys]).agg(F.count("*").alias("n"))
+
+    def match(self, binds: list[tuple[str, Column | None]], steps: list[tuple[str, Column | str | None]], first_only: bool = False, parallel: bool = False) -> DataFrame:
+        """Pattern a - step - b - step - c ...: binds names and vertex predicates, steps ("out" or "in", edge predicate or the edge's kind).
 
-        A row for each embedding, vertices as columns named by the binds; first_only keeps the smallest for each first vertex."""
+        A row for each embedding of the vertices, as columns named by the binds; with parallel one for each embedding of the
+        edges too, so parallel edges repeat a row.  first_only keeps the smallest for each first vertex."""
         if len(binds) != len(steps) + 1:
             raise ValueError("a pattern ends in a bound vertex")
 
@@ -226,13 +268,14 @@ class PropertyGraph:
 
         rows = bound(*binds[0])
         for (name, condition), (way, over), (last, _) in zip(binds[1:], steps, binds):
-            own = self._edges if over is None else self._edges.where(over)
+            own = self._edges if over is None else self._edges.where(F.col("kind") == over if isinstance(over, str) else over)
             a, b = ("src", "dst") if way == "out" else ("dst", "src")
             hop = own.select(F.col(a).alias(last), F.col(b).alias(name))
+            hop = hop if parallel else hop.distinct()
             rows = rows.join(hop, last)
             if condition is not None:
                 rows = rows.join(bound(name, condition), name, "left_semi")
-        rows = rows.select(*[n for n, _ in binds]).distinct()
+        rows = rows.select(*[n for n, _ in binds])
         if first_only:
             rest = [n for n, _ in binds[1:]]
             rows = rows.groupBy(binds[0][0]).agg(F.min(F.struct(*rest)).alias("x")).select(binds[0][0], "x.*")

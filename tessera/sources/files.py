@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import props as P
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import cut
+from tessera.plans.iterate import cut, numbered
 
 
 def read_edge_list(spark: SparkSession, path: str) -> PropertyGraph:
@@ -23,8 +23,10 @@ def read_edge_list(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(spark.range(0 if top is None else top + 1), own.where("src <> dst").withColumn("weight", F.lit(1.0)))
 
 
-def write_edge_list(g: PropertyGraph, path: str) -> None:
-    g.edges.select(F.concat_ws(" ", "src", "dst")).write.text(path)
+def write_edge_list(g: PropertyGraph, path: str, sep: str = " ") -> None:
+    """Lines of two ids in any number of files; a first line tells the counts, as a comment."""
+    head = g.stats().select(F.concat(F.lit("# vertices "), "n_vertices", F.lit(" edges "), "n_edges").alias("value"))
+    head.unionByName(g.edges.select(F.concat_ws(sep, "src", "dst").alias("value"))).write.text(path)
 
 
 _JSON = "version int, vertexCount long, edgeCount long, vertices array<struct<id:bigint,properties:map<string,string>>>, edges array<struct<from:bigint,to:bigint,weight:double,properties:map<string,string>>>"
@@ -40,18 +42,51 @@ def read_json_graph(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph.from_edges(e.select(F.col("from").alias("src"), F.col("to").alias("dst"), "eid", "weight", "properties"), v)
 
 
+def _rest(df: DataFrame, *out: str) -> Column:
+    own = [c for c in df.columns if c not in out]
+    return F.struct(*own) if own else F.lit(None).cast("struct<none:string>")
+
+
 def json_graph(g: PropertyGraph) -> DataFrame:
     """JSON lines (kind, line): one for each vertex and edge, and one header; a graph of any size is written in parallel."""
-    def rest(df: DataFrame, *out: str):
-        own = [c for c in df.columns if c not in out]
-        return F.struct(*own) if own else F.lit(None).cast("struct<none:string>")
-
-    v = g.vertices.select(F.lit("vertex").alias("kind"), F.to_json(F.struct("id", rest(g.vertices, "id").alias("properties"))).alias("line"))
-    e = g.edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "weight", rest(g.edges, "src", "dst", "weight", "eid").alias("properties"))).alias("line"))
+    v = g.vertices.select(F.lit("vertex").alias("kind"), F.to_json(F.struct("id", _rest(g.vertices, "id").alias("properties"))).alias("line"))
+    e = g.edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct("eid", F.col("src").alias("from"), F.col("dst").alias("to"), "weight", _rest(g.edges, "src", "dst", "weight", "eid").alias("properties"))).alias("line"))
     head = g.stats().select(F.lit("graph").alias("kind"), F.to_json(F.struct(F.lit(1).alias("version"), F.col("n_vertices").alias("vertexCount"), F.col("n_edges").alias("edgeCount"))).alias("line"))
     return head.unionByName(v).unionByName(e)
 
 
+def write_json_lines(g: PropertyGraph, path: str) -> None:
+    json_graph(g).select("line").write.text(path)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> PropertyGraph:
+    """What write_json_lines wrote.  A line with an id is a vertex, one with from and to an edge, others are skipped; a missing weight
+    counts as 1.  Properties arrive as the column `properties` (text by key)."""
+    rows = spark.read.schema("id long, eid long, `from` long, `to` long, weight double, properties map<string,string>").json(path)
+    v = rows.where("id is not null and `from` is null").select("id", "properties").dropDuplicates(["id"])
+    e = rows.where("`from` is not null and `to` is not null").select(F.col("from").alias("src"), F.col("to").alias("dst"), "eid", "weight", "properties")
+    return PropertyGraph.from_edges(e, v)
+
+
+def json_document(g: PropertyGraph) -> DataFrame:
+    """(part, place, line): one JSON document in lines, as read_json_graph reads it; in order of part and place they make the text."""
+    def listed(df: DataFrame, place: str, part: int, own: Column) -> DataFrame:
+        first = df.agg(F.min(place).alias("_first"))  # one row
+        comma = F.when(F.col(place) == F.col("_first"), "").otherwise(",")
+        return df.crossJoin(first).select(F.lit(part).alias("part"), F.col(place).alias("place"), F.concat(comma, F.to_json(own)).alias("line"))
+
+    v = listed(g.vertices, "id", 1, F.struct("id", _rest(g.vertices, "id").alias("properties")))
+    e = listed(g.edges, "eid", 3, F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "weight", _rest(g.edges, "src", "dst", "weight", "eid").alias("properties")))
+    head = g.stats().select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("place"), F.concat(F.lit('{"version":1,"vertexCount":'), "n_vertices", F.lit(',"edgeCount":'), "n_edges", F.lit(',"vertices":[')).alias("line"))
+    ends = g.spark.createDataFrame([(2, 0, '],"edges":['), (4, 0, "]}")], "part int, place long, line string")
+    return head.unionByName(v).unionByName(e).unionByName(ends)
+
+
+def write_json_document(g: PropertyGraph, path: str) -> None:
+    """One file, as the format is one document."""
+    json_document(g).orderBy("part", "place").select("line").coalesce(1).write.text(path)
+
+
 # fixed values of the compact binary form, all big-endian
 MAGIC = b"AXOL"
 VERSION = 1
@@ -255,16 +290,55 @@ def write_dot(lines: DataFrame, path: str) -> None:
 
 
 def snapshot(g: PropertyGraph, sid: str | None = None, label: str | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """For display: nodes (id, sid, label) and edges (src, dst, kind, weight); sid falls back to the id, label to sid."""
+    """For display: nodes (id, sid, label, props) and edges (src, dst, kind, weight, props); sid falls back to the id, label to sid.  props: all
+    columns but those that the edges name themselves, as JSON; missing ones are left out."""
     text = lambda c: F.lit(None).cast("string") if c is None else F.nullif(F.col(c).cast("string"), F.lit(""))
     s = F.coalesce(text(sid), F.col("id").cast("string"))
-    return g.vertices.select("id", s.alias("sid"), F.coalesce(text(label), s).alias("label")), g.edges.select("src", "dst", F.coalesce(text(kind), F.lit("")).alias("kind"), "weight")
+    props = lambda df, *out: F.coalesce(F.to_json(_rest(df, *out)), F.lit("{}")).alias("props")
+    nodes = g.vertices.select("id", s.alias("sid"), F.coalesce(text(label), s).alias("label"), props(g.vertices, "id"))
+    return nodes, g.edges.select("src", "dst", F.coalesce(text(kind), F.lit("")).alias("kind"), "weight", props(g.edges, "src", "dst", "eid", "weight"))
+
+
+# fixed values: multipliers and modulus of well-known linear congruential generators
+_A, _B, _C, _M = 48_271, 69_621, 16_807, 2_147_483_647
+
+
+def uniform(key: str, seed: int, turn: int) -> Column:
+    """A number from 0 to below 1 that looks random, from whole-number arithmetic that any engine repeats."""
+    x = F.pmod((F.pmod(F.col(key), F.lit(_M)) + 1) * _A + F.lit(turn * _B + seed), F.lit(_M))
+    for _ in range(3):
+        x = F.pmod(F.pmod(x * _C, F.lit(_M)) * _A + F.lit(turn), F.lit(_M))
+    return x / F.lit(float(_M))
+
+
+def _drawn(spark: SparkSession, n: int, m: int, seed: int, skew: float, undirected: bool) -> DataFrame:
+    draw = lambda k: F.floor(F.pow(uniform("id", seed, k), F.lit(float(skew))) * n).cast("long")
+    e = spark.range(m).select(draw(1).alias("a"), draw(2).alias("b"), "id").where("a <> b")
+    if undirected:
+        e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "id")
+    return e.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("id").alias("eid"))
+
+
+def random_graph(spark: SparkSession, n: int, m: int, seed: int = 42, skew: float = 1.0, weighted: bool = False, undirected: bool = False) -> PropertyGraph:
+    """About m distinct edges without loops among n vertices; skew > 1 draws low ids more often (a power law); undirected: each
+    pair once, from the lower id."""
+    weight = F.floor(uniform("eid", seed, 3) * 1000) / 100.0 + 0.01 if weighted else F.lit(1.0)
+    return PropertyGraph(spark.range(n), _drawn(spark, n, m, seed, skew, undirected).withColumn("weight", weight))
+
+
+def random_edges(g: PropertyGraph, m: int, seed: int = 42, weighted: bool = False) -> PropertyGraph:
+    """g with about m more edges between its vertices, none of them a loop or parallel to another; their eids follow the largest."""
+    ids = numbered(g.vertices.select("id"), "id", "_n")
+    new = _drawn(g.spark, ids.count(), m, seed, 1.0, False)
+    of = lambda end: ids.select(F.col("_n").alias(end), F.col("id").alias(f"_{end}"))
+    new = new.join(of("src"), "src").join(of("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "eid")
+    new = new.join(g._edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    weight = F.floor(uniform("eid", seed, 3) * 1000) / 100.0 + 0.01 if weighted else F.lit(1.0)
+    top = g._edges.agg(F.coalesce(F.max("eid"), F.lit(-1))).first()[0]
+    return g.add_edges(new.select("src", "dst", weight.alias("weight"), (F.lit(top + 1) + F.col("eid")).alias("eid")))
 
 
-def random_graph(spark: SparkSession, n: int, m: int, seed: int = 42, skew: float = 1.0, weighted: bool = False) -> PropertyGraph:
-    """About m distinct edges without loops among n vertices; skew > 1 draws low ids more often (a power law)."""
-    draw = lambda k: F.floor(F.pow(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40), F.lit(float(skew))) * n).cast("long")
-    e = spark.range(m).select(draw(1).alias("src"), draw(2).alias("dst"), F.col("id").alias("eid"))
-    e = e.where("src <> dst").groupBy("src", "dst").agg(F.min("eid").alias("eid"))
-    weight = F.pmod(F.xxhash64("eid", F.lit(seed)), F.lit(1000)) / 100.0 + 0.01 if weighted else F.lit(1.0)
-    return PropertyGraph(spark.range(n), e.withColumn("weight", weight))
+def random_vertices(g: PropertyGraph, n: int) -> PropertyGraph:
+    """g with n more vertices, numbered after the largest."""
+    top = g.vertices.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+    return PropertyGraph(g.vertices.unionByName(g.spark.range(top + 1, top + 1 + n), allowMissingColumns=True), g._edges)

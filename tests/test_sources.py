@@ -9,6 +9,7 @@ from tessera.functions import props as P
 from tessera.operators import structure
 from tessera.plans.graph import PropertyGraph
 from tessera.sources import files, store
+from tessera.sources.index import DuplicateValue, IndexedGraph, IndexRegistry
 from tessera.streaming import deltas
 
 
@@ -121,14 +122,96 @@ def test_store_versions_and_transactions(spark, tmp_path):
 def test_recovery_replays_committed_transactions_only(spark, tmp_path):
     s = store.GraphStore(spark, str(tmp_path / "store"))
     assert s.recover() is None
-    log = lambda tx, end: spark.createDataFrame([("begin", None, None, None, None, None, tx, 0), ("add_vertex", 1 if tx == "a" else 2, None, None, None, "{}", tx, 1), *([(end, None, None, None, None, None, tx, 2)] if end else [])], store.DELTA)
-    s.write_log(log("a", "commit"), "a")
-    s.write_log(log("b", None), "b")
-    s.write_log(log("c", "rollback"), "c")
+    log = lambda tx, end: spark.createDataFrame([("begin", None, None, None, None, None, tx, 0, None), ("add_vertex", 1 if tx == "a" else 2, None, None, None, "{}", tx, 1, None), *([(end, None, None, None, None, None, tx, 2, None)] if end else [])], store.DELTA)
+    s.write_log(log("a", "commit"))
+    s.write_log(log("b", None))
+    s.write_log(log("c", "rollback"))
     assert s.recover() == 1 and [r["id"] for r in s.snapshot().vertices.collect()] == [1]
     assert s.recover() is None
 
 
+def test_a_lost_race_changes_nothing(spark, tmp_path):
+    s = store.GraphStore(spark, str(tmp_path / "store"))
+    s.publish(PropertyGraph.empty(spark))
+    a, b = s.begin(), s.begin()
+    a.add_edge(100, 101)
+    b.add_edge(200, 201)
+    first = store.GraphStore._unchanged
+    try:  # b finds its base unchanged, then a publishes, then b goes on
+        seen = []
+        store.GraphStore._unchanged = lambda self, base: seen.append(a.commit()) or first(self, base) if not seen and base is not None and seen.append(0) is None else first(self, base)
+        with pytest.raises(store.Conflict):
+            b.commit()
+    finally:
+        store.GraphStore._unchanged = first
+    assert s.version() == 2 and [(r.src, r.dst) for r in s.snapshot(2).edges.collect()] == [(100, 101)]
+    assert s.recover() is None and s.version() == 2  # neither left a log entry
+
+
+def test_log_is_replayed_once_and_in_order(spark, tmp_path):
+    s = store.GraphStore(spark, str(tmp_path / "store"))
+    for k in range(12):  # names that would sort otherwise
+        tx = store.Transaction(s)
+        tx.tx = str(k)
+        tx.add_vertex(1, f"{k}")
+        tx.add_edge(1, k + 2)
+        s.write_log(tx.log())
+    assert s.recover() == 1 and s.snapshot().vertex(1).first().props == "11"
+    assert [r.dst for r in s.snapshot().edges.orderBy("eid").collect()] == list(range(2, 14))
+    # a crash between publishing and dropping the entry
+    tx = s.begin()
+    tx.add_edge(50, 51)
+    entry = s.write_log(tx.log())
+    s.publish(store.fold(s.snapshot(), tx.log().where("op like 'add%'")), s.version(), [entry])
+    assert s.recover() is None and s.snapshot().find_edges(src=50).count() == 1
+    # a crash while an entry is written: it doesn't count
+    half = s.write_log(tx.log())
+    (tmp_path / "store" / "wal" / str(half) / "_SUCCESS").unlink()
+    assert s.recover() is None
+    # an abandoned pointer is passed over once it is old
+    (tmp_path / "store" / "current" / "9").touch()
+    with pytest.raises(store.Conflict):
+        s.publish(s.snapshot(), s.version())
+    import os
+
+    os.utime(tmp_path / "store" / "current" / "9", (0, 0))
+    assert s.publish(s.snapshot(), s.version()) == 10
+    assert s.vacuum() >= 2 and s.snapshot().find_edges(src=50).count() == 1
+
+
+def test_index_registry(spark, tmp_path):
+    kinds = "id long, props map<string,struct<t:tinyint,i:bigint,d:double,s:string,b:boolean>>"
+    v = spark.createDataFrame([(1, P.props({"port": "Oslo", "berths": 3})), (2, P.props({"port": "Riga", "berths": "3"})), (3, P.props({"port": "Oslo", "berths": 3.0, "x": None}))], kinds)
+    own = IndexRegistry(spark, str(tmp_path / "indexes"))
+    assert own.names() == [] and not own.has("port") and own.exact("port", "Oslo") is None
+    own.create("by_port", "port", v)
+    own.create("by_berths", "berths", v)
+    with pytest.raises(ValueError):
+        own.create("by_port", "port", v)
+    found = lambda key, *values: sorted(r["id"] for r in own.among(key, list(values)).collect())
+    assert found("port", "Oslo") == [1, 3] and found("berths", 3) == [1] and found("berths", "3", 3.0) == [2, 3] and found("port") == []
+    g = IndexedGraph(PropertyGraph(v, spark.createDataFrame([], "src long, dst long, eid long, weight double")), own)
+    g = g.put_vertices(spark.createDataFrame([(1, P.props({"port": "Riga"})), (4, P.props({"port": "Oslo"}))], kinds))
+    g = g.delete_vertices(spark.createDataFrame([(3,)], "id long"))
+    assert found("port", "Oslo") == [4] and found("port", "Riga") == [1, 2] and found("berths", 3) == []
+    assert sorted(r["id"] for r in g.find("port", "Riga").collect()) == [1, 2] and g.find("x", None).count() == 0
+    assert {(r["name"], r.n_values, r.n_entries) for r in own.stats().collect()} == {("by_port", 2, 3), ("by_berths", 1, 1)}
+    for k in range(10):  # beyond MAX_LAYERS layers they are folded
+        own.maintain(spark.createDataFrame([(9, P.props({"port": f"p{k}"}))], kinds))
+    assert found("port", "p9") == [9] and found("port", "p8") == [] and len(own.definition("by_port")["folders"]) < 9
+    own.rebuild(v, "port")
+    assert found("port", "Oslo") == [1, 3] and own.names() == ["by_berths", "by_port"]
+    own.create("one", "port", v, unique="evict")
+    own.drop("by_port")
+    assert found("port", "Oslo") == [3]
+    own.maintain(spark.createDataFrame([(1, P.props({"port": "Oslo"}))], kinds))
+    assert found("port", "Oslo") == [1]
+    with pytest.raises(DuplicateValue):
+        own.create("strict", "port", v, unique="error")
+    with pytest.raises(KeyError):
+        own.drop("by_port")
+
+
 def test_property_index(spark):
     v = spark.createDataFrame([(1, "Alice", 30), (2, "Bob", 25), (3, "Alice", None)], "id long, name string, age int")
     g = PropertyGraph(v, spark.createDataFrame([], "src long, dst long, eid long, weight double"))
