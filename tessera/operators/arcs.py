@@ -11,7 +11,8 @@ from tessera.plans.iterate import Grown, Stored
 def draw(key: str, turn: int) -> Column:
     """A number below 65,537 that looks random, from whole-number arithmetic that any engine repeats."""
     low, high = F.pmod(F.col(key), F.lit(1_000_003)), F.pmod(F.floor(F.col(key) / 1_000_003), F.lit(1_000_003))
-    return F.pmod((low * 7_919 + high * 104_729 + turn * 15_485_863) * 31 + F.floor(low / 257) * 9_973, F.lit(65_537))
+    # 40,503 is odd and near the golden section of the modulus, so a key's parity changes at every third turn at the latest
+    return F.pmod((low * 7_919 + high * 104_729) * 31 + F.floor(low / 257) * 9_973 + turn * 40_503, F.lit(65_537))
 
 
 class Arcs:

@@ -100,27 +100,29 @@ def _sweeps(arcs: DataFrame, two_m: float, sweeps: int, gain) -> tuple[DataFrame
     """((id, label), vertices, moves) of local moves over symmetric arcs (src, dst, w) from one community a vertex.
 
     gain(w, inside, k, s, s_c): of a vertex of weight k for a community of total s that w leads to, from one of total s_c that `inside`
-    leads to.  In each sweep the vertices that `draw` picks move at once to their best community (ties: smaller label).
+    leads to.  In each sweep the vertices that `draw` picks move at once to their best community (ties: smaller label); it ends where no
+    vertex would gain by a move.
     One job a sweep: communities' weights around a vertex and their totals meet by label, a vertex's own by its id."""
     degree = arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
     rounds = Rounds()
-    n_moved, size = F.count(F.when(F.col("moved"), 1)).alias("n"), F.count("*").alias("size")
+    n_moved, n_would, size = F.count(F.when(F.col("moved"), 1)).alias("n"), F.count(F.when(F.col("would"), 1)).alias("would"), F.count("*").alias("size")
     state, seen = rounds.observed(degree.select("id", "k", F.col("id").alias("label"), F.lit(False).alias("moved")), size)
-    count, moves, still = seen.get("size", 0), 0, 0
+    count, moves = seen.get("size", 0), 0
     own_arcs = arcs.where("src <> dst")
     for sweep in range(sweeps):
         total = state.groupBy("label").agg(F.sum("k").alias("s"))
         near = own_arcs.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
-        held = state.select("id", "k", F.col("label").alias("c"), (draw("id", sweep) % 2 == 0).alias("turn")).where("turn")
+        held = state.select("id", "k", F.col("label").alias("c"))
         rows = near.join(held, "id")
         inside = rows.where("label = c").select("id", F.col("w").alias("inside"))
         rows = rows.where("label <> c").join(inside, "id", "left").join(total, "label").join(total.select(F.col("label").alias("c"), F.col("s").alias("s_c")), "c")
         rows = rows.select("id", "label", gain(F.col("w"), F.coalesce("inside", F.lit(0.0)), F.col("k"), F.col("s"), F.col("s_c")).alias("gain")).where("gain > 1e-12")
         best = rows.groupBy("id").agg(F.max(F.struct("gain", (-F.col("label")).alias("l"))).alias("x")).select("id", (-F.col("x.l")).alias("to"))
-        state, seen = rounds.observed(state.join(best, "id", "left").select("id", "k", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")), n_moved)
+        turn, would = draw("id", sweep) % 2 == 0, F.col("to").isNotNull()
+        rows = state.join(best, "id", "left").select("id", "k", F.when(turn & would, F.col("to")).otherwise(F.col("label")).alias("label"), (turn & would).alias("moved"), would.alias("would"))
+        state, seen = rounds.observed(rows, n_moved, n_would)
         moves += seen.get("n", 0)
-        still = 0 if seen.get("n", 0) else still + 1
-        if still == 2:  # most vertices have had a turn since the last move
+        if not seen.get("would", 0):  # nobody gains by a move, whoever's turn it is
             break
     least = state.groupBy("label").agg(F.min("id").alias("m"))
     out = Stored(state.join(least, "label").select("id", F.col("m").alias("label"))).df

@@ -364,7 +364,7 @@ query("g11_k_core_copurchase", f"SELECT id, CAST(core AS BIGINT) AS core FROM c{
 
 def _draw_sql(key: str, turn: int) -> str:
     low, high = f"({key} % 1000003)", f"(({key} // 1000003) % 1000003)"
-    return f"((({low} * 7919 + {high} * 104729 + {turn * 15_485_863}) * 31 + ({low} // 257) * 9973) % 65537)"
+    return f"((({low} * 7919 + {high} * 104729) * 31 + ({low} // 257) * 9973 + {turn * 40_503}) % 65537)"
 
 
 def _brandes_sql(v: str, arcs: str, k: int, depth: int) -> str:

@@ -36,28 +36,37 @@ def random_edges(seed, n=14, m=40):
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    v = spark.createDataFrame([(1, P.props({"name": "Alice", "age": 30})), (2, P.props({"name": "Bob", "age": 25})), (3, P.props({"name": "Charlie", "age": 30, "x": None}))], "id long, props map<string,struct<t:tinyint,i:bigint,d:double,s:string,b:boolean>>")
-    e = spark.createDataFrame([(1, 2, 0, 1.0, "knows"), (2, 3, 1, 1.0, "knows")], "src long, dst long, eid long, weight double, kind string")
+def ports(spark):
+    v = spark.createDataFrame([(10, P.props({"port": "Oslo", "berths": 14})), (20, P.props({"port": "Riga", "berths": 6})), (30, P.props({"port": "Turku", "berths": 14, "ice": None})), (40, P.props({"port": "Visby"}))], "id long, props map<string,struct<t:tinyint,i:bigint,d:double,s:string,b:boolean>>")
+    e = spark.createDataFrame([(10, 20, 0, 1.0, "ferry"), (20, 30, 1, 1.0, "ferry"), (20, 30, 2, 1.0, "ferry"), (20, 40, 3, 1.0, "freight")], "src long, dst long, eid long, weight double, kind string")
     return PropertyGraph(v, e)
 
 
-def test_typed_queries(spark, people):
-    found = lambda *c: sorted(r["id"] for r in people.find_vertices(*c).collect())
-    assert found(P.equals("props", "name", "Alice")) == [1]
-    assert found(P.equals("props", "age", 30)) == [1, 3]
-    assert found(P.equals("props", "age", 30.0)) == []
-    assert found(P.equals("props", "x", None)) == [3] and found(P.has("props", "x")) == [3]
-    assert found(P.greater("props", "age", 26), P.less("props", "name", "B")) == [1]
-    assert found(P.greater("props", "age", 26.0)) == []
-    assert [r.asDict() for r in people.match([("a", P.equals("props", "name", "Alice")), ("b", None)], [("out", F.col("kind") == "knows")]).collect()] == [{"a": 1, "b": 2}]
-    assert traverse.shortest_path(people, 1, 3) == [1, 2, 3] and traverse.shortest_path(people, 3, 1) == []
-    assert traverse.shortest_path(people, 2, 2) == [2]
-    assert [(r.src, r.dst) for r in people.find_edges(src=1).collect()] == [(1, 2)]
-    assert people.aggregate(P.number("props", "age")).first().asDict() == {"n": 3, "total": 85.0, "mean": 85 / 3, "least": 25.0, "most": 30.0}
-    assert people.aggregate(P.number("props", "name")).count() == 0
+def test_typed_queries(spark, ports):
+    found = lambda *c, **more: sorted(r["id"] for r in ports.find_vertices(*c, **more).collect())
+    assert found(P.equals("props", "port", "Riga")) == [20]
+    assert found(P.equals("props", "berths", 14)) == [10, 30]
+    assert found(P.equals("props", "berths", 14.0)) == []
+    assert found(P.equals("props", "ice", None)) == [30] and found(P.has("props", "ice")) == [30]
+    assert found(P.greater("props", "berths", 8), P.less("props", "port", "Q")) == [10]
+    assert found(P.greater("props", "berths", 8.0)) == []
+    labels = spark.createDataFrame([(10, 1), (20, 2), (30, 1)], "id long, label long")
+    assert found(P.equals("props", "berths", 14), community=(labels, 1)) == [10, 30] and found(community=(labels, 2)) == [20]
+    rows = lambda *a, **k: sorted(tuple(r) for r in ports.match(*a, **k).collect())
+    assert rows([("a", P.equals("props", "port", "Oslo")), ("b", None)], [("out", F.col("kind") == "ferry")]) == [(10, 20)]
+    assert rows([("a", None), ("b", None)], [("out", "freight")]) == [(20, 40)]
+    assert rows([("a", None), ("b", None), ("c", None)], [("out", None), ("out", "ferry")]) == [(10, 20, 30)]
+    assert rows([("a", None), ("b", None), ("c", None)], [("out", None), ("out", "ferry")], parallel=True) == [(10, 20, 30)] * 2
+    assert traverse.shortest_path(ports, 10, 30) == [10, 20, 30] and traverse.shortest_path(ports, 30, 10) == []
+    assert traverse.shortest_path(ports, 20, 20) == [20]
+    assert [(r.src, r.dst) for r in ports.find_edges(src=10).collect()] == [(10, 20)]
+    assert ports.aggregate(P.number("props", "berths")).first().asDict() == {"n": 3, "total": 34.0, "mean": 34 / 3, "least": 6.0, "most": 14.0}
+    assert ports.aggregate(P.number("props", "port")).count() == 0
+    assert {(r.port, r.berths, r.n) for r in ports.group_counts("port", "berths").collect()} == {("Oslo", "?", 1), ("Riga", "?", 1), ("Turku", "?", 1), ("Visby", "(无)", 1)}
+    vertex, edges = ports.detail(20)
+    assert vertex.count() == 1 and sorted((r.way, r.kind, r.n, r.other) for r in edges.collect()) == [("in", "ferry", 1, 10), ("out", "ferry", 2, 30), ("out", "ferry", 2, 30), ("out", "freight", 1, 40)]
     with pytest.raises(ValueError):
-        people.match([("a", None)], [("out", None)])
+        ports.match([("a", None)], [("out", None)])
 
 
 def test_doubles_compare_by_bits(spark):
@@ -101,20 +110,35 @@ def test_empty_graph(spark):
 
 
 def test_traversals(spark):
-    g = graph(spark, [(0, 1), (0, 2), (1, 3), (2, 4), (3, 4)], 5)
-    seen, crossed = traverse.walk(g, ids(spark, 0), 2)
-    assert as_map(seen, "dist") == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
-    assert sorted((r.src, r.depth, r.dst) for r in crossed.collect()) == [(0, 0, 1), (0, 0, 2), (1, 1, 3), (2, 1, 4)]
-    assert traverse.bfs(g, ids(spark, 99)).count() == 0
-    sub = traverse.subgraph(graph(spark, [(0, 1), (0, 2), (1, 3), (3, 4)], 5), ids(spark, 0), 2)
-    assert (sub.vertices.count(), sub.edges.count()) == (4, 3)
-    walks = traverse.paths(graph(spark, [(0, 1), (1, 2), (0, 2), (2, 3)], 4), 2)
-    assert sorted(r.path for r in walks.collect()) == [[0, 1, 2], [0, 2, 3], [1, 2, 3]]
-    ring = graph(spark, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (0, 2), (1, 3)])
-    assert sorted("".join(map(str, r.path)) for r in traverse.simple_paths(ring, 0, 3, 4).collect()) == ["0123", "013", "0213", "023", "0543"]
-    assert traverse.simple_paths(ring, 0, 0).count() == 0
+    g = graph(spark, [(7, 8), (7, 9), (8, 9), (9, 11), (11, 12), (12, 7), (8, 8)])
+    seen, crossed = traverse.walk(g, ids(spark, 7), 2)
+    assert as_map(seen, "dist") == {7: 0, 8: 1, 9: 1, 11: 2}
+    assert sorted((r.src, r.depth, r.dst) for r in crossed.collect()) == [(7, 0, 8), (7, 0, 9), (8, 1, 8), (8, 1, 9), (9, 1, 11)]
+    assert traverse.bfs(g, ids(spark, 99)).count() == 0 and as_map(traverse.bfs(g, ids(spark, 11), 0), "dist") == {11: 0}
+    sub = traverse.subgraph(g, ids(spark, 11), 2)
+    assert sorted(r["id"] for r in sub.vertices.collect()) == [7, 11, 12] and sorted((r.src, r.dst) for r in sub.edges.collect()) == [(11, 12), (12, 7)]
+    walks = traverse.paths(g, 2)
+    assert sorted(r.path for r in walks.collect()) == [[7, 8, 8], [7, 8, 9], [7, 9, 11], [8, 8, 8], [8, 8, 9], [8, 9, 11], [9, 11, 12], [11, 12, 7], [12, 7, 8], [12, 7, 9]]
+    assert sorted(r.path for r in traverse.simple_paths(g, 8, 12, 3).collect()) == [[8, 7, 12], [8, 9, 7, 12], [8, 9, 11, 12]]
+    assert traverse.simple_paths(g, 7, 7).count() == 0
     rows, n = traverse.limited(walks, 2, ["path"])
-    assert (rows.count(), n) == (2, 3)
+    assert (rows.count(), n) == (2, 10)
+
+
+def test_loops_over_bucketed_arcs(spark, monkeypatch):
+    """What large graphs go through: bucketed arcs, hubs apart, merged parts."""
+    from tessera.operators.arcs import Arcs
+    from tessera.plans.iterate import Grown
+
+    e = random_edges(21, 10, 24) + [(3, k) for k in range(10)]
+    g = graph(spark, e, 12, [1 + k % 4 for k in range(len(e))])
+    run = lambda: [as_map(ranking.pagerank(g, 3), "score"), as_map(traverse.sssp(g, ids(spark, 0)), "dist"), as_map(structure.k_core(g), "core")]
+    plain = run()
+    monkeypatch.setattr(Arcs, "FEW", 5)
+    monkeypatch.setattr(Arcs, "SPLIT", 6)
+    monkeypatch.setattr(Grown, "MOST", 1)
+    for a, b in zip(plain, run()):
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
 def test_weighted_paths(spark):
@@ -190,7 +214,7 @@ def test_components_and_cores_match_brute_force(spark, seed):
     assert as_map(structure.k_core(g), "core") == kc
 
 
-@pytest.mark.parametrize("edges,want", [([(0, 1), (1, 0)], [{0, 1}]), ([(0, 1), (1, 2), (0, 2)], [{0}, {1}, {2}]), ([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3)], [{0, 1, 2}, {3, 4}])])
+@pytest.mark.parametrize("edges,want", [([(6, 2), (2, 6)], [{2, 6}]), ([(5, 1), (1, 9), (5, 9)], [{1}, {5}, {9}]), ([(1, 2), (2, 3), (3, 4), (4, 1), (4, 8), (8, 6), (6, 5), (5, 8), (5, 7)], [{1, 2, 3, 4}, {5, 6, 8}, {7}])])
 def test_strong_components_fixed(spark, edges, want):
     parts = defaultdict(set)
     for v, label in as_map(structure.strongly_connected_components(graph(spark, edges)), "label").items():
@@ -293,18 +317,29 @@ def test_centralities(spark):
 
 
 def test_communities(spark):
-    cliques = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]
-    for resolution in (0.25, 1.0):
-        got = as_map(communities.louvain(graph(spark, cliques, both=True), resolution)[0], "label")
-        if resolution == 1.0:
-            assert got[0] == got[1] == got[2] != got[3] == got[4] == got[5]
-    assert len(set(as_map(communities.louvain(graph(spark, [(0, 1), (1, 2), (2, 0)], both=True), 1.0)[0], "label").values())) == 1
-    g = graph(spark, cliques)
-    two = spark.createDataFrame([(v, v // 3) for v in range(6)], "id long, label long")
-    assert abs(communities.modularity(g, two).first().q - (6 / 7 - 0.5)) < 1e-9
-    merged = as_map(communities.greedy_merge(graph(spark, [(0, 1), (1, 2), (2, 0), (7, 8), (8, 9), (9, 7)])), "label")
-    assert merged == {0: 0, 1: 0, 2: 0, 7: 1, 8: 1, 9: 1}
-    assert set(as_map(communities.label_propagation(g, 20), "label")) == set(range(6))
-    assert communities.greedy_move(g).count() == 6
-    assert {r["id"] for r in communities.community_of(two, 4).collect()} == {3, 4, 5}
-    assert {(r.label, r.n, r.least) for r in communities.members(two).collect()} == {(0, 3, 0), (1, 3, 3)}
+    square = [(a, b) for k in (10, 20) for a, b in itertools.combinations(range(k, k + 4), 2)] + [(13, 21)]
+    got = as_map(communities.louvain(graph(spark, square))[0], "label")
+    assert got == {v: v // 10 * 10 for v in got}
+    assert as_map(communities.louvain_one_level(graph(spark, square)), "label") == got
+    g = graph(spark, square)
+    two = spark.createDataFrame([(v, v // 10) for v in (*range(10, 14), *range(20, 24))], "id long, label long")
+    assert abs(communities.modularity(g, two).first().q - (12 / 13 - 0.5)) < 1e-9
+    apart = graph(spark, [(10, 11), (11, 12), (30, 31), (31, 32)])
+    assert as_map(communities.greedy_merge(apart), "label") == {10: 0, 11: 0, 12: 0, 30: 1, 31: 1, 32: 1}
+    assert as_map(communities.greedy_merge(apart, 1), "label") == {10: 0, 11: 0, 12: 1, 30: 2, 31: 3, 32: 4}
+    assert set(as_map(communities.label_propagation(g, 20), "label")) == {*range(10, 14), *range(20, 24)}
+    assert communities.greedy_move(g).count() == 8
+    assert {r["id"] for r in communities.community_of(two, 22).collect()} == set(range(20, 24))
+    assert {(r.label, r.n, r.least) for r in communities.members(two).collect()} == {(1, 4, 10), (2, 4, 20)}
+    assert [r["id"] for r in communities.member_rows(two).where("label = 2").orderBy("place").collect()] == [20, 21, 22, 23]
+
+
+def test_core_numbers_after_changes(spark):
+    e = random_edges(31, 14, 60)
+    g, less = graph(spark, e, 14), graph(spark, e[:45], 14)
+    full, small = as_map(structure.k_core(g), "core"), as_map(structure.k_core(less), "core")
+    assert as_map(incremental.k_core(less, structure.k_core(g), added=0)[0], "core") == small
+    now, changed = incremental.k_core(g, structure.k_core(less), added=15)
+    assert as_map(now, "core") == full and changed == sum(full[v] != small[v] for v in full)
+    k = max(full.values())
+    assert {r["id"]: r.change for r in incremental.core_members(structure.k_core(less), now, k).collect()} == {v: 1 for v in full if full[v] >= k > small[v]}

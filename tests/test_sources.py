@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import props as P
 from tessera.operators import structure
 from tessera.plans.graph import PropertyGraph
+from tessera.plans.inspect import report
+from tessera.plans.memo import Memo
 from tessera.sources import files, store
 from tessera.sources.index import DuplicateValue, IndexedGraph, IndexRegistry
 from tessera.streaming import deltas
@@ -31,6 +33,16 @@ def test_json_graph(spark, tmp_path):
     assert lines["graph"] == {"version": 1, "vertexCount": 2, "edgeCount": 2} and lines["edge"]["from"] == 1
 
 
+def test_json_round_trips(spark, tmp_path):
+    v = spark.createDataFrame([(4, "Ålesund", 'a "b"'), (5, None, "c")], "id long, name string, note string")
+    e = spark.createDataFrame([(4, 5, 0, 1.0, "x"), (4, 5, 1, 0.5, None)], "src long, dst long, eid long, weight double, kind string")
+    for k, (write, read) in enumerate(((files.write_json_lines, files.read_json_lines), (files.write_json_document, files.read_json_graph))):
+        write(PropertyGraph(v, e), str(tmp_path / str(k)))
+        back = read(spark, str(tmp_path / str(k)))
+        assert {r["id"]: r.properties for r in back.vertices.collect()} == {4: {"name": "Ålesund", "note": 'a "b"'}, 5: {"note": "c"}}
+        assert [(r.src, r.dst, r.weight, r.properties) for r in back.edges.orderBy("eid").collect()] == [(4, 5, 1.0, {"kind": "x"}), (4, 5, 0.5, {})]
+
+
 def test_packed_graph(spark, tmp_path):
     v = [(2, P.props({"n": None, "b": True, "s": "é"})), (1, P.props({"i": -5, "d": 0.5}))]
     e = [(2, 1, 0.25, P.props({"k": "x"})), (1, 2, 1.0, {})]
@@ -91,7 +103,7 @@ def test_store_versions_and_transactions(spark, tmp_path):
     s = store.GraphStore(spark, str(tmp_path / "store"))
     assert s.version() == 0 and s.snapshot().vertices.count() == 0
     with s.begin() as tx:
-        tx.add_vertex(1, '{"name": "Alice"}')
+        tx.add_vertex(1, '{"port": "Oslo"}')
         tx.add_edge(1, 2)
         tx.commit()
     old = s.snapshot()
@@ -100,14 +112,14 @@ def test_store_versions_and_transactions(spark, tmp_path):
         tx.add_vertex(9)
     assert s.version() == 1
     with s.begin() as tx:
-        tx.add_vertex(1, '{"name": "Alice", "age": 30}')
+        tx.add_vertex(1, '{"port": "Oslo", "berths": 14}')
         tx.add_edge(1, 2, 0.5)
         tx.delete_edge(1, 2)
         tx.add_edge(2, 1, 0.25)
         tx.delete_vertex(7)
         tx.commit()
-    assert old.vertex(1).first().props == '{"name": "Alice"}' and s.snapshot(1).edges.count() == 1
-    assert "age" in s.snapshot().vertex(1).first().props
+    assert old.vertex(1).first().props == '{"port": "Oslo"}' and s.snapshot(1).edges.count() == 1
+    assert "berths" in s.snapshot().vertex(1).first().props
     assert [(r.src, r.dst, r.weight) for r in s.snapshot().edges.collect()] == [(2, 1, 0.25)]
     first, second = s.begin(), s.begin()
     first.add_vertex(3)
@@ -212,17 +224,21 @@ def test_index_registry(spark, tmp_path):
         own.drop("by_port")
 
 
-def test_property_index(spark):
-    v = spark.createDataFrame([(1, "Alice", 30), (2, "Bob", 25), (3, "Alice", None)], "id long, name string, age int")
-    g = PropertyGraph(v, spark.createDataFrame([], "src long, dst long, eid long, weight double"))
-    index = store.PropertyIndex(g, ["name", "age"])
-    assert sorted(r["id"] for r in index.exact("name", "Alice").collect()) == [1, 3]
-    assert sorted(r["id"] for r in index.among("age", [25, 30]).collect()) == [1, 2]
-    assert index.exact("other", 1) is None
-    assert {(r.key, r.n_values, r.n_entries) for r in index.stats().collect()} == {("name", 2, 3), ("age", 2, 2)}
-    assert [r["id"] for r in store.PropertyIndex(g, ["name"], unique="evict").exact("name", "Alice").collect()] == [3]
-    with pytest.raises(ValueError):
-        store.PropertyIndex(g, ["name"], unique="error")
+def test_results_are_kept_by_version(spark, tmp_path):
+    own, runs = store.GraphStore(spark, str(tmp_path / "store")), []
+    own.publish(PropertyGraph.from_edges(spark.createDataFrame([(4, 6)], "src long, dst long")))
+    compute = lambda g, depth: runs.append(depth) or g.degrees()
+    memo = Memo(own)
+    for depth in (1, 1, 2):
+        assert memo.get("degrees", compute, depth=depth).count() == 2
+    assert runs == [1, 2] and memo.holds("degrees", depth=1) and not memo.holds("degrees", depth=3)
+    with own.begin() as tx:
+        tx.add_edge(6, 9)
+        tx.commit()
+    assert memo.get("degrees", compute, depth=1).count() == 3 and memo.get("degrees", compute, version=1, depth=1).count() == 2 and runs == [1, 2, 1]
+    memo.forget(1)
+    assert not memo.holds("degrees", 1, depth=1)
+    assert report(spark, str(tmp_path / "store"))[0].startswith("vertices 3, edges 2")
 
 
 def test_component_stream(spark, tmp_path):
