@@ -6,8 +6,9 @@ decontamination   drops documents that hold a window of any benchmark item
 mixing            repeats documents by their fitted rates, all at least once
 tokens            writes the token files and returns a row for each document in them
 
-A document with a null id or text goes through every stage like others.  To near_duplicates a document is an id with a text:
-different texts under one id, or without one, are different documents (a null id comes after all others).  ORACLE_SQL is None: the classifiers, XXH64 votes and the tokenizer can't be expressed in SQL.
+Rows with a null id or text go through every stage; to near_duplicates a document is an id with a text, so different texts under one
+id, or without one, are different documents (a null id comes after all others).  Stages keep the columns of documents and drop others;
+an empty table gives an empty result.  ORACLE_SQL is None: the classifiers, XXH64 votes and the tokenizer can't be expressed in SQL.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ MAX_BROADCAST_IDS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of a score of 0.7 or more.  A null text scores as an empty one; with no usable label all have one score, the prior's,
+    and stay while that is below 0.7.  Repeated rows stay or go together."""
     model = tox.train(docs, common.table(spark, sf_dir, "labels"), common.fold("doc_id", 3) != 1)
     return tox.score(docs.select(*COLUMNS), model, to="_score").where("_score < 0.7").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each SimHash component: that of the smallest id, null last, then of the smallest hash of the text.  A null text counts as empty;
+    equal rows are one document."""
     who = F.struct(F.col("doc_id").isNull().alias("blank"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     found = simhash.near_duplicates(docs.select(who.alias("who"), "text"), key="who")  # component_id: the component's smallest who
     stays = F.col("who").eqNullSafe(F.col("component_id"))
@@ -44,15 +49,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a window of any benchmark item.  A null text has no words and stays; with an empty benchmark all stay."""
     return decontaminate.scan(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"), min_items=1).where("not contaminated").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says, at least once.  A document without words has rate 1 if no domain is short, and is drawn like
+    others; rows with equal ids get copies of their own rates by one draw; a null id has a draw of its own."""
     mixed = mixing.mix(docs.select(*COLUMNS), mixing.labelled_languages(docs, common.table(spark, sf_dir, "labels")), least=1.0)
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*COLUMNS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document of the token files: doc_id, start, n_tokens, ids_crc32.  A null text holds the end id alone; null ids come first, equal
+    ids in the order of their texts."""
     path = common.scratch(spark, "pipeline-tokens")
     tokens.write_tokens(docs, path)
     return tokens.read_tokens(spark, path)
