@@ -417,7 +417,6 @@ WEIGHTS = "w0 AS MATERIALIZED (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FR
 LOUVAIN = "(w - inside) / (two_m / 2) - 1.0 * k * (s + k - s_c) / (two_m * two_m / 2)"
 ONE_LEVEL = "(w - inside) / two_m - k * (s + k - s_c) / (two_m * two_m * 1.0)"
 flow_query("g15_louvain", "SELECT f.id, coalesce(p2.label, f.label) AS label FROM p1 f LEFT JOIN p2 ON p2.id = f.label", "flow", extra=f"{WEIGHTS}, {_sweep_sql('p1', 'w0', 3, LOUVAIN)}, w1 AS MATERIALIZED (SELECT a.label AS src, b.label AS dst, sum(w) AS w FROM w0 JOIN p1 a ON a.id = w0.src JOIN p1 b ON b.id = w0.dst GROUP BY 1, 2), {_sweep_sql('p2', 'w1', 3, LOUVAIN)}")(lambda g: communities.louvain(g, 1.0, phases=2, sweeps=3)[0])
-flow_query("g15_louvain_settled")(lambda g: communities.members(communities.louvain(g)[0]))
 flow_query("g16_louvain_one_level", "SELECT id, label FROM p1", "flow", extra=f"{WEIGHTS}, {_sweep_sql('p1', 'w0', 4, ONE_LEVEL)}")(lambda g: communities.louvain_one_level(g, sweeps=4))
 query("g17_greedy_merge", "SELECT c_custkey + 1000000000 AS id, CAST(n_regionkey AS BIGINT) AS label FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_suppkey + 2000000000, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_nationkey + 1000, n_regionkey FROM nation UNION ALL SELECT r_regionkey, r_regionkey FROM region")(lambda s, d: communities.greedy_merge(T.geo(s, d)))
 query("g17_greedy_merge_some", "SELECT id, dense_rank() OVER (ORDER BY least) - 1 AS label FROM (SELECT id, CASE WHEN r <= 7 THEN region ELSE id END AS least FROM (SELECT CAST(n_nationkey + 1000 AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation UNION ALL SELECT r_regionkey, r_regionkey, 1000 FROM region UNION ALL SELECT id, 0, 1000 FROM geo_v WHERE id >= 1000000))", "geo")(lambda s, d: communities.greedy_merge(T.geo(s, d), 7))
