@@ -40,11 +40,11 @@ class Stored:
         rows = df if seen is None else df.observe(seen, *metrics)
         if by is None:
             rows.write.parquet(self.path)
-            self.df = self.spark.read.schema(df.schema).parquet(self.path)
+            self.df = self.plain = self.spark.read.schema(df.schema).parquet(self.path)
         else:
             buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             rows.write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", self.path).saveAsTable(self.name)
-            self.df = self.spark.table(self.name)
+            self.df, self.plain = self.spark.table(self.name), self.spark.read.schema(df.schema).parquet(self.path)
         self.seen = {} if seen is None else seen.get
 
     def drop(self) -> None:
@@ -117,9 +117,13 @@ class Grown:
 
 
 def _union(parts: list[Stored]) -> DataFrame:
-    out = parts[0].df
+    """All rows of the parts.  Spark takes a union of bucketed tables for bucketed too, but appends their partitions where it reads
+    them by columns, so an id of two parts would be two groups: several parts are read as plain files."""
+    if len(parts) == 1:
+        return parts[0].df
+    out = parts[0].plain
     for p in parts[1:]:
-        out = out.unionByName(p.df)
+        out = out.unionByName(p.plain)
     return out
 
 
