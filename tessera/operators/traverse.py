@@ -125,7 +125,9 @@ def shortest_path_weighted(g: PropertyGraph, start: int, end: int, directed: boo
     return (_unwound(tree, end), row["dist"]) if row else ([], float("inf"))
 
 
-def expand(g: PropertyGraph, seed: DataFrame, depth: int, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """For display: the `limit` nearest vertices (ties: smallest id) within depth, and the edges among them."""
-    seen = bfs(g, seed, depth).orderBy("dist", "id").limit(limit)
+def expand(g: PropertyGraph, seed: DataFrame, depth: int, limit: int | None = 500) -> tuple[DataFrame, DataFrame]:
+    """For display: the `limit` nearest vertices (ties: smallest id; None: all) within depth, and the edges among them."""
+    seen = bfs(g, seed, depth)
+    if limit is not None:
+        seen = seen.orderBy("dist", "id").limit(limit)
     return seen, g.induced(seen).edges

@@ -19,3 +19,9 @@ def test_ids_that_improve_twice_have_one_row_over_bucketed_arcs(spark, monkeypat
     edges = [(i, i + 1, 1) for i in range(11)] + [(0, i, 3 * i) for i in range(2, 12)] + [(rng.randrange(12), rng.randrange(12), 40) for _ in range(20)]
     found = cut(traverse.sssp(graph(spark, edges, 12), spark.range(1)).select("id", "dist"))
     assert sorted(tuple(r) for r in found.collect()) == [(i, float(i)) for i in range(12)]
+
+
+def test_expand_without_a_limit(spark):
+    g = graph(spark, [(0, i, 1) for i in range(1, 700)], 700)
+    assert traverse.expand(g, g.vertex(0), 2)[1].count() == 499
+    assert traverse.expand(g, g.vertex(0), 2, None)[1].count() == 699
