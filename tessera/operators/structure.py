@@ -163,26 +163,34 @@ def clustering(g: PropertyGraph, only: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("coefficient", F.when(d < 2, 0.0).otherwise(2.0 * F.col("triangles") / (d * (d - 1.0))))
 
 
+#: Rows (source, vertex) that a batch of betweenness is meant to hold.
+REACHED = 1 << 22
+
+
 def betweenness(g: PropertyGraph, sources: int | None = 256, directed: bool = True, include_source: bool = True, scale: str = "sampled", seed: int = 42, batch: int = 64) -> DataFrame:
     """(id, score) by Brandes' levels for all sources of a batch at once.
 
     sources: how many (all if None or at least V), those with the smallest `draw`s of (id, seed).  Counts of shortest
     paths multiply parallel edges; loops are skipped.  include_source adds a source's own dependency.
-    scale: "sampled" (V / k) / ((V - 1)(V - 2)), "half" V / k / 2, "exact" 2 / ((V - 1)(V - 2)), "none" 1."""
+    scale: "sampled" (V / k) / ((V - 1)(V - 2)), "half" V / k / 2, "exact" 2 / ((V - 1)(V - 2)), "none" 1.
+    batch: sources of the first batch; the next ones are as many as reach about REACHED vertices, going by the batch before.
+    With more than one batch dependencies are looked up from the upper end of an arc, so a hub that few sources reach doesn't
+    offer them to all its predecessors; with one batch they are sent back along all arcs, at most k times the arcs."""
     arcs = Arcs(g.pairs(loops=False) if directed else g.mirrored().withColumn("n", F.lit(1).cast("long")))
-    back = arcs if not directed else Arcs(arcs.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     n = g.vertices.count()
     k = n if sources is None else min(sources, n)
-    batches = max(1, -(-k // batch))
-    chosen = cut(numbered(g.vertices.select("id", F.struct(draw("id", seed), F.col("id")).alias("_o")).orderBy("_o").limit(k), "_o", "part").select("id", F.pmod("part", F.lit(batches)).alias("part")))
-    scores = Grown()
+    few = k <= batch
+    back = arcs if not directed or not few else Arcs(arcs.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    chosen = cut(numbered(g.vertices.select("id", F.struct(draw("id", seed), F.col("id")).alias("_o")).orderBy("_o").limit(k), "_o", "at").select("id", "at"))
+    scores = Grown(merge=lambda df: df.groupBy("id").agg(F.sum("delta").alias("delta")))
     scores.add(g.vertices.select("id", F.lit(0.0).alias("delta")).limit(0))
-    for part in range(batches):
-        seen = Grown()
-        level = seen.add(chosen.where(F.col("part") == part).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"), F.lit(0).alias("level")), F.count("*").alias("n"))
+    first, size = 0, batch
+    while first < k:
+        seen, reached = Grown(), 0
+        level = seen.add(chosen.where((F.col("at") >= first) & (F.col("at") < first + size)).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"), F.lit(0).alias("level")), F.count("*").alias("n"))
         depth = 0
         while level[1].get("n", 0):
-            depth += 1
+            depth, reached = depth + 1, reached + level[1]["n"]
             step = arcs.send(level[0].select("id", "s", "paths")).groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("paths") * F.col("n")).alias("paths"))
             level = seen.add(step.join(seen.df.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", "paths", F.lit(depth).alias("level")), F.count("*").alias("n"))
         every, below = Stored(seen.df.repartition("level", "s", "id")) if depth > Grown.MOST else None, None
@@ -192,10 +200,16 @@ def betweenness(g: PropertyGraph, sources: int | None = 256, directed: bool = Tr
             if below is None:
                 own = own.select("s", "id", "paths", F.lit(0.0).alias("delta"))
             else:
-                up = back.send(below.select("id", "s", ((1 + F.col("delta")) / F.col("paths")).alias("unit"))).groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("unit") * F.col("n")).alias("unit"))
+                unit = below.select("id", "s", ((1 + F.col("delta")) / F.col("paths")).alias("unit"))
+                if few:
+                    sent = back.send(unit).withColumnRenamed("dst", "to")
+                else:
+                    sent = arcs.send(own.select("id", "s")).join(unit.withColumnRenamed("id", "dst"), ["s", "dst"]).withColumnRenamed("src", "to")
+                up = sent.groupBy("s", F.col("to").alias("id")).agg(F.sum(F.col("unit") * F.col("n")).alias("unit"))
                 own = own.join(up, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("unit", F.lit(0.0))).alias("delta"))
             below = Stored(own).df
             scores.add((below if include_source else below.where("s <> id")).groupBy("id").agg(F.sum("delta").alias("delta")))
+        first, size = first + size, max(1, min(16 * size, int(size * REACHED / max(1, reached))))
     arcs.drop()
     if back is not arcs:
         back.drop()

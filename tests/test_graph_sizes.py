@@ -2,7 +2,9 @@
 
 import random
 
-from tessera.operators import traverse
+from pyspark.sql import functions as F
+
+from tessera.operators import structure, traverse
 from tessera.operators.arcs import Arcs
 from tessera.plans.graph import PropertyGraph
 from tessera.plans.iterate import cut
@@ -25,3 +27,19 @@ def test_expand_without_a_limit(spark):
     g = graph(spark, [(0, i, 1) for i in range(1, 700)], 700)
     assert traverse.expand(g, g.vertex(0), 2)[1].count() == 499
     assert traverse.expand(g, g.vertex(0), 2, None)[1].count() == 699
+
+
+def test_betweenness_in_batches_that_grow(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(9), rng.randrange(9), 1) for _ in range(20)] + [(0, 1, 1), (0, 1, 1)]
+    g = graph(spark, edges, 9)
+    score = lambda **o: {r["id"]: round(r["score"], 9) for r in structure.betweenness(g, None, include_source=False, scale="none", **o).collect()}
+    monkeypatch.setattr(structure, "REACHED", 20)
+    assert score(batch=3) == score(batch=64)
+
+
+def test_betweenness_does_not_offer_a_hub_to_all_its_predecessors(spark, monkeypatch):
+    rows, group = [], structure.Arcs.send
+    monkeypatch.setattr(structure.Arcs, "send", lambda self, df: (lambda out: rows.append(out.count()) or out)(group(self, df)))
+    found = structure.betweenness(graph(spark, [(i, 40, 1) for i in range(40)], 41), None, include_source=False, scale="none", batch=8)
+    assert found.agg(F.sum("score")).first()[0] == 0.0 and sum(rows) <= 4 * 41
