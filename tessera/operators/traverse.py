@@ -43,22 +43,27 @@ def subgraph(g: PropertyGraph, seeds: DataFrame, max_depth: int) -> PropertyGrap
     return PropertyGraph(g.vertices.join(seen.select("id"), "id", "left_semi"), g.out_edges(inner))
 
 
-def paths(g: PropertyGraph, length: int, vertex: Column | None = None, edge: Column | None = None) -> DataFrame:
-    """(path array): all walks of exactly `length` edges.
+def counted_paths(g: PropertyGraph, length: int, vertex: Column | None = None, edge: Column | None = None) -> DataFrame:
+    """(path array, n): each different walk of exactly `length` edges once, and how many choices of parallel edges make it.
 
     The vertex condition holds for all but the last vertex, the edge condition for at least one of the parallel edges; parallel edges that are there at all
-    multiply a walk."""
+    multiply a walk.  A path of pairs is found once only, so nothing is grouped."""
     hops = g.pairs()
     if edge is not None:
         hops = hops.join(g.edges.where(edge).select("src", "dst").distinct(), ["src", "dst"], "left_semi")
     if vertex is not None:
         hops = hops.join(g.vertices.where(vertex).select(F.col("id").alias("src")), "src", "left_semi")
-    hops = hops.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("src", "dst")
+    hops = hops.withColumnRenamed("n", "_n")
     rows = g.vertices if vertex is None else g.vertices.where(vertex)
-    rows = rows.select(F.col("id").alias("last"), F.array("id").alias("path"))
+    rows = rows.select(F.col("id").alias("last"), F.array("id").alias("path"), F.lit(1).cast("long").alias("n"))
     for _ in range(length):
-        rows = rows.join(hops, F.col("last") == F.col("src")).select(F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"))
-    return rows.select("path")
+        rows = rows.join(hops, F.col("last") == F.col("src")).select(F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path"), (F.col("n") * F.col("_n")).alias("n"))
+    return rows.select("path", "n")
+
+
+def paths(g: PropertyGraph, length: int, vertex: Column | None = None, edge: Column | None = None) -> DataFrame:
+    """(path array): all walks of counted_paths, each as often as it counts."""
+    return counted_paths(g, length, vertex, edge).select("path", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("path")
 
 
 def limited(rows: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, int]:

@@ -43,3 +43,10 @@ def test_betweenness_does_not_offer_a_hub_to_all_its_predecessors(spark, monkeyp
     monkeypatch.setattr(structure.Arcs, "send", lambda self, df: (lambda out: rows.append(out.count()) or out)(group(self, df)))
     found = structure.betweenness(graph(spark, [(i, 40, 1) for i in range(40)], 41), None, include_source=False, scale="none", batch=8)
     assert found.agg(F.sum("score")).first()[0] == 0.0 and sum(rows) <= 4 * 41
+
+
+def test_counted_paths_are_not_grouped(spark):
+    g = graph(spark, [(0, 1, 1), (0, 1, 1), (1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)], 3)
+    found = traverse.counted_paths(g, 2)
+    assert sorted((r["path"], r["n"]) for r in found.collect()) == [([0, 1, 2], 6), ([1, 2, 2], 3), ([2, 2, 2], 1)]
+    assert traverse.paths(g, 2).count() == 10
