@@ -54,6 +54,11 @@ class Arcs:
     def df(self) -> DataFrame:
         return self._tables[0].df
 
+    def hashed(self, rows: DataFrame) -> DataFrame:
+        """rows with at most one for each vertex, as the side of a join that a task holds by its hash: bucket by bucket, so neither
+        the arcs are sorted for it nor do the rows pass the driver.  Few arcs leave it to the planner."""
+        return rows if self.n <= self.FEW else rows.hint("shuffle_hash")
+
     def send(self, rows: DataFrame) -> DataFrame:
         """rows (id, ...) along their out-arcs: id becomes src, the arcs' columns are added."""
         rows = rows.withColumnRenamed("id", "src")

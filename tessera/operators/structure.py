@@ -88,32 +88,53 @@ def cores(g: PropertyGraph) -> DataFrame:
     return done.df
 
 
+def _h_index(near: DataFrame) -> DataFrame:
+    """(id, h, now) of near (id, own, v): the h-index of the values, each cut to the vertex's own, and how many are not below it."""
+    down, own = W.partitionBy("id").orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy("id")
+    counts = near.groupBy("id", F.least("v", "own").alias("v")).agg(F.count("*").alias("n"))
+    index = counts.select("id", "v", "n", F.least("v", F.sum("n").over(down)).alias("h")).withColumn("h", F.max("h").over(own))
+    return index.groupBy("id").agg(F.max("h").alias("h"), F.sum(F.when(F.col("v") >= F.col("h"), F.col("n")).otherwise(0)).alias("now"))
+
+
 def k_core(g: PropertyGraph, start: DataFrame | None = None) -> DataFrame:
     """(id, core): undirected core numbers, as the fixpoint of neighbours' h-indices from the degrees down.
 
     A vertex's h-index is taken over its neighbours' counts by value, each value cut to the vertex's own, so a hub needs a row for each
-    different value only.  From the second round on only neighbours of what fell are looked at.
+    different value only.  While many fall, or arcs are few, all are looked at.  Then each vertex keeps how many neighbours hold it up (have its
+    value at least); one falls when that gets less than its value, and only the arcs of those that fall are read into the round.
     start: values (id, core) that are nowhere below the core numbers, to begin with instead of the degrees."""
     arcs = Arcs(g.mirrored())
     own = arcs.df.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
     if start is not None:
         own = own.join(start.select("id", F.col("core").alias("most")), "id", "left").select("id", F.least("core", F.coalesce("most", "core")).alias("core"))
     rounds = Rounds(arcs.by)
-    first = g.vertices.select("id").join(own, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"), F.lit(True).alias("moved"))
-    down = W.partitionBy("id").orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0)
-    fell, every = F.count(F.when(F.col("moved"), 1)).alias("n"), F.count("*").alias("all")
-    state, seen = rounds.observed(first, fell, every)
-    while seen.get("n", 0):
-        if 8 * seen["n"] > seen["all"]:  # most vertices have a neighbour that fell
-            near = arcs.send(state.select("id", F.col("core").alias("v"))).join(state.select(F.col("id").alias("dst"), F.col("core").alias("own")), "dst").select(F.col("dst").alias("id"), "own", "v")
-        else:
-            lower = arcs.send(state.where("moved").select("id", F.col("core").alias("v"))).join(state.select(F.col("id").alias("dst"), "core"), "dst").where("v < core")
-            touched = lower.select(F.col("dst").alias("id"), F.col("core").alias("own")).distinct()
-            near = arcs.send(touched).join(state.select(F.col("id").alias("dst"), F.col("core").alias("v")), "dst").select(F.col("src").alias("id"), "own", "v")
-        counts = near.groupBy("id", F.least("v", "own").alias("v")).agg(F.count("*").alias("n"))
-        index = counts.select("id", F.least("v", F.sum("n").over(down)).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
-        new = state.join(index, "id", "left").select("id", F.least("core", F.coalesce("h", "core")).alias("core"), (F.coalesce("h", "core") < F.col("core")).alias("moved"))
-        state, seen = rounds.observed(new, fell, every)
+    state, seen = rounds.cut(g.vertices.select("id").join(own, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"))), {}
+    fell, every = F.count(F.when(F.col("core") < F.col("was"), 1)).alias("n"), F.count("*").alias("all")
+    while not seen or 4 * seen["n"] > seen["all"] or (seen["n"] and arcs.by is None):
+        near = arcs.send(arcs.hashed(state.select("id", F.col("core").alias("v")))).join(arcs.hashed(state.select(F.col("id").alias("dst"), F.col("core").alias("own"))), "dst")
+        index = arcs.hashed(_h_index(near.select(F.col("dst").alias("id"), "own", "v")))
+        state, seen = rounds.observed(state.join(index, "id", "left").select("id", F.coalesce("h", "core").alias("core"), F.coalesce("now", F.lit(0)).alias("held"), F.col("core").alias("was")), fell, every)
+    short = F.count(F.when(F.col("held") < F.col("core"), 1)).alias("n")
+
+    def let_go(near: DataFrame, lower: DataFrame) -> DataFrame:
+        """(id, k): neighbours (near: id, dst, v) that held a vertex up before they fell (lower: id, was, h)."""
+        to = near.join(arcs.hashed(lower.select("id", "was", "h")), "id").join(arcs.hashed(lower.select(F.col("id").alias("dst"), F.col("h").alias("less"))), "dst", "left")
+        value = F.coalesce("less", "v")
+        return arcs.hashed(to.where((F.col("h") < value) & (value <= F.col("was"))).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k")))
+
+    if seen["n"]:
+        lower = state.where("core < was").select("id", "was", F.col("core").alias("h"))
+        near = arcs.send(arcs.hashed(lower.select("id"))).join(arcs.hashed(state.select(F.col("id").alias("dst"), F.col("core").alias("v"))), "dst").select(F.col("src").alias("id"), "dst", "v")
+        state, seen = rounds.observed(state.join(let_go(near, lower), "id", "left").select("id", "core", (F.col("held") - F.coalesce("k", F.lit(0))).alias("held")), short)
+    while seen["n"]:
+        sent = arcs.send(arcs.hashed(state.where("held < core").select("id", F.col("core").alias("own"))))
+        near = Stored(sent.join(arcs.hashed(state.select(F.col("id").alias("dst"), F.col("core").alias("v"))), "dst").select(F.col("src").alias("id"), "own", "dst", "v"))
+        # a vertex that no neighbour is left to hold has an index too: all its neighbours' counts are in near
+        lower = Stored(near.df.select("id", F.col("own").alias("was")).distinct().join(_h_index(near.df), "id"))
+        new = state.join(arcs.hashed(lower.df.select("id", "h", "now")), "id", "left").join(let_go(near.df, lower.df), "id", "left")
+        state, seen = rounds.observed(new.select("id", F.coalesce("h", "core").alias("core"), (F.coalesce("now", "held") - F.coalesce("k", F.lit(0))).alias("held")), short)
+        near.drop()
+        lower.drop()
     arcs.drop()
     return state.select("id", "core")
 

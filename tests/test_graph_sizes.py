@@ -50,3 +50,31 @@ def test_counted_paths_are_not_grouped(spark):
     found = traverse.counted_paths(g, 2)
     assert sorted((r["path"], r["n"]) for r in found.collect()) == [([0, 1, 2], 6), ([1, 2, 2], 3), ([2, 2, 2], 1)]
     assert traverse.paths(g, 2).count() == 10
+
+
+def peeled(edges, n):
+    near = {v: set() for v in range(n)}
+    for a, b, _ in edges:
+        if a != b:
+            near[a].add(b), near[b].add(a)
+    core, k = {}, 0
+    while near:
+        v = min(near, key=lambda x: len(near[x]))
+        k = max(k, len(near[v]))
+        core[v] = k
+        for u in near.pop(v):
+            near[u].discard(v)
+    return core
+
+
+def test_k_core_over_bucketed_arcs_reads_only_what_falls(spark, monkeypatch):
+    rows, send = [], Arcs.send
+    monkeypatch.setattr(Arcs, "FEW", 5)
+    rng = random.Random(8)
+    edges = [(a, b, 1) for a in range(12) for b in range(a) if rng.random() < 0.8] + [(rng.randrange(30), rng.randrange(30), 1) for _ in range(45)]
+    assert {r["id"]: r["core"] for r in structure.k_core(graph(spark, edges, 32)).collect()} == peeled(edges, 32)
+    # a path beside a clique, whose ends alone fall
+    path = [(i, i + 1, 1) for i in range(9)] + [(9, 10 + a, 1) for a in range(2)] + [(10 + a, 10 + b, 1) for a in range(12) for b in range(a)]
+    monkeypatch.setattr(Arcs, "send", lambda self, df: (lambda out: rows.append(out.count()) or out)(send(self, df)))
+    assert {r["id"]: r["core"] for r in structure.k_core(graph(spark, path, 22)).collect()} == peeled(path, 22)
+    assert len(rows) > 5 and all(n <= 4 for n in rows[2:])
