@@ -80,7 +80,7 @@ def relax(arcs: Arcs, start: DataFrame, offer, moved: DataFrame | None = None, m
     predecessors, offer(value) over the columns `value` and the arcs', until nothing gets smaller.
 
     Values only fall, so a round writes those that fell, as a part of a growing table in which an id's smallest value counts; parts
-    are merged now and then.  moved: the rows of start that are sent first, all if None.  jump: values are ids, and an id's own
+    are merged now and then.  What is known is met bucket by bucket, so no round sends it to the driver.  moved: the rows of start that are sent first, all if None.  jump: values are ids, and an id's own
     value is offered to whoever holds it, which halves long chains (for reachability, whose offers are the values)."""
     least_of = lambda df: df.groupBy("id").agg(F.min(F.struct("value", "parent")).alias("x")).select("id", "x.value", "x.parent")
     best = Grown(arcs.by, least_of)
@@ -90,13 +90,13 @@ def relax(arcs: Arcs, start: DataFrame, offer, moved: DataFrame | None = None, m
     n, done = seen.get("n", 0), 0
     while n and (max_rounds is None or done < max_rounds):
         done += 1
-        sent = arcs.send(frontier.select("id", "value")).select(F.col("dst").alias("id"), offer(F.col("value")).alias("value"), F.col("src").alias("parent"))
+        sent = arcs.send(arcs.hashed(frontier.select("id", "value"))).select(F.col("dst").alias("id"), offer(F.col("value")).alias("value"), F.col("src").alias("parent"))
         if jump:
             held = best.df.select(F.col("id").alias("by"), F.col("value").alias("next"))
-            sent = sent.unionByName(frontier.join(held, F.col("value") == F.col("by")).select("id", F.col("next").alias("value"), "parent"))
+            sent = sent.unionByName(frontier.join(arcs.hashed(held), F.col("value") == F.col("by")).select("id", F.col("next").alias("value"), "parent"))
         least = least_of(sent)
         known = best.df.select(F.col("id").alias("k"), F.col("value").alias("v"))
-        fell = least.join(known, (F.col("id") == F.col("k")) & (F.col("v") <= F.col("value")), "left_anti")
+        fell = least.join(arcs.hashed(known), (F.col("id") == F.col("k")) & (F.col("v") <= F.col("value")), "left_anti")
         frontier, seen = best.add(fell, F.count("*").alias("n"))
         n = seen.get("n", 0)
     return least_of(best.df)

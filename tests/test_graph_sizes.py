@@ -5,9 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import structure, traverse
-from tessera.operators.arcs import Arcs
+from tessera.operators.arcs import Arcs, relax
 from tessera.plans.graph import PropertyGraph
-from tessera.plans.iterate import cut
+from tessera.plans.iterate import Grown, cut
 
 
 def graph(spark, edges, n):
@@ -78,3 +78,13 @@ def test_k_core_over_bucketed_arcs_reads_only_what_falls(spark, monkeypatch):
     monkeypatch.setattr(Arcs, "send", lambda self, df: (lambda out: rows.append(out.count()) or out)(send(self, df)))
     assert {r["id"]: r["core"] for r in structure.k_core(graph(spark, path, 22)).collect()} == peeled(path, 22)
     assert len(rows) > 5 and all(n <= 4 for n in rows[2:])
+
+
+def test_states_over_bucketed_arcs_are_not_broadcast(spark, monkeypatch):
+    plans, add = [], Grown.add
+    monkeypatch.setattr(Arcs, "FEW", 5)
+    monkeypatch.setattr(Grown, "add", lambda self, df, *m: plans.append(df._jdf.queryExecution().executedPlan().toString()) or add(self, df, *m))
+    arcs = Arcs(graph(spark, [(i, i + 1, 1) for i in range(7)], 8).pairs().select("src", "dst"))
+    start = spark.range(1).selectExpr("id", "0L AS value", "CAST(NULL AS LONG) AS parent")
+    assert relax(arcs, start, lambda v: v + 1, max_rounds=2).count() == 3
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in p for p in plans)
