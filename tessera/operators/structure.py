@@ -36,7 +36,8 @@ def strongly_connected_components(g: PropertyGraph) -> DataFrame:
 
     def without(gone: DataFrame) -> Stored:
         nonlocal arcs
-        old, arcs = arcs, Stored(arcs.df.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), F.count("*").alias("n"))
+        lost = gone.hint("shuffle_hash") if arcs.seen["n"] > Arcs.FEW else gone
+        old, arcs = arcs, Stored(arcs.df.join(lost.withColumnRenamed("id", "src"), "src", "left_anti").join(lost.withColumnRenamed("id", "dst"), "dst", "left_anti"), F.count("*").alias("n"))
         # an end that loses its last edge by this is a component of its own
         ends = lambda t: t.select(F.col("src").alias("id")).unionByName(t.select(F.col("dst").alias("id"))).distinct()
         done.add(alone(ends(old.df).join(gone, "id", "left_anti").join(ends(arcs.df), "id", "left_anti")))
@@ -55,7 +56,7 @@ def strongly_connected_components(g: PropertyGraph) -> DataFrame:
         ways = Arcs(arcs.df)
         colour = Stored(_spread(ways, arcs.df.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("value")))).df
         ways.drop()
-        of = lambda end: colour.select(F.col("id").alias(end), F.col("value").alias(f"c_{end}"))
+        of = lambda end: ways.hashed(colour.select(F.col("id").alias(end), F.col("value").alias(f"c_{end}")))
         back = Arcs(arcs.df.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         reached = _spread(back, colour.where("id = value"), jump=False)
         found = done.add(reached.select("id", F.col("value").alias("label")))[0]
