@@ -35,18 +35,18 @@ def pagerank(g: PropertyGraph, scores: DataFrame, new: DataFrame, damping: float
     loop = Rounds(out.by)
     state, seen = loop.observed(first, sinks, total, F.sum(F.when(F.col("deg") == F.col("added"), F.col("score")).otherwise(0.0)).alias("old"), F.count(F.when(F.col("added") > 0, 1)).alias("hot"))
     lost_before = seen.get("old") or 0.0
-    touched = out.send(new.select(F.col("src").alias("id")).distinct()).select(F.col("dst").alias("id")).unionByName(new.select(F.col("dst").alias("id"))).distinct()
+    touched = out.send(out.hashed(new.select(F.col("src").alias("id")).distinct())).select(F.col("dst").alias("id")).unionByName(new.select(F.col("dst").alias("id"))).distinct()
     for _ in range(rounds):
         lost = seen.get("sinks") or 0.0
         if not seen.get("hot", 0) and abs(lost - lost_before) * damping / n <= eps:
             break
-        sums = into.send(touched).join(state.select(F.col("id").alias("dst"), "score"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
-        pulled = touched.join(sums, "id", "left").select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("s", F.lit(0.0))).alias("new"))
+        sums = into.send(into.hashed(touched)).join(into.hashed(state.select(F.col("id").alias("dst"), "score")), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
+        pulled = touched.join(into.hashed(sums), "id", "left").select("id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("s", F.lit(0.0))).alias("new"))
         now = F.coalesce("new", F.col("score") + F.lit(damping * (lost - lost_before) / n))
-        rows = state.join(pulled, "id", "left").select("id", now.alias("score"), "deg", F.abs(now - F.col("score")).alias("moved"))
+        rows = state.join(into.hashed(pulled), "id", "left").select("id", now.alias("score"), "deg", F.abs(now - F.col("score")).alias("moved"))
         lost_before = lost
         state, seen = loop.observed(rows, sinks, total, hot)
-        touched = out.send(state.where(F.col("moved") > eps).select("id")).select(F.col("dst").alias("id")).distinct()
+        touched = out.send(out.hashed(state.where(F.col("moved") > eps).select("id"))).select(F.col("dst").alias("id")).distinct()
     for t in (pairs, flows, out, into):
         t.drop()
     return state.select("id", (F.col("score") / F.lit(seen.get("total") or 1.0)).alias("score"))

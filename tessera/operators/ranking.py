@@ -53,9 +53,9 @@ def pagerank(g: PropertyGraph, iterations: int = 100, damping: float = 0.85, tol
         state, seen = rounds.observed(state.select("id", "deg", score.alias("score")), sinks, total)
     for _ in range(iterations):
         base = (1 - damping) / n + (damping * lost / n if dangling == "spread" else 0.0)
-        sums = flows.send(state.where("deg > 0").select("id", score.alias("score"))).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
+        sums = flows.send(flows.hashed(state.where("deg > 0").select("id", score.alias("score")))).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("s"))
         new = F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
-        moved = state.join(sums, "id", "left").select("id", "deg", new.alias("score"), F.abs(new - score).alias("moved"))
+        moved = state.join(flows.hashed(sums), "id", "left").select("id", "deg", new.alias("score"), F.abs(new - score).alias("moved"))
         state, seen = rounds.observed(moved, sinks, total, F.max("moved").alias("most"))
         state, score, lost = state.drop("moved"), F.col("score"), seen["sinks"] or 0.0
         if tol is not None and seen["most"] <= tol:
@@ -89,8 +89,8 @@ def _power(g: PropertyGraph, f, iterations: int, tol: float | None, scaled: bool
     state, norm = rounds.cut(state), 1.0
     for _ in range(iterations):
         now = F.col("score") / F.lit(norm)
-        sums = arcs.send(state.select("id", now.alias("score"))).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("s"))
-        rows = state.join(sums, "id", "left").select("id", f(F.coalesce("s", F.lit(0.0))).alias("score"), now.alias("was"))
+        sums = arcs.send(arcs.hashed(state.select("id", now.alias("score")))).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("s"))
+        rows = state.join(arcs.hashed(sums), "id", "left").select("id", f(F.coalesce("s", F.lit(0.0))).alias("score"), now.alias("was"))
         state, seen = rounds.observed(rows, F.sum(F.col("score") * F.col("score")).alias("square"), F.max(F.abs(F.col("score") - F.col("was"))).alias("most"))
         norm = (seen["square"] ** 0.5 or 1.0) if scaled and seen["square"] else 1.0
         if tol is not None:
