@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,6 +187,60 @@ def clustering(g: PropertyGraph, only: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("coefficient", F.when(d < 2, 0.0).otherwise(2.0 * F.col("triangles") / (d * (d - 1.0))))
 
 
+#: Sources whose path counts share a row in sampled betweenness: a bit of a long for each.
+WIDE = 64
+
+
+def _dependencies(arcs: Arcs, sources: DataFrame, k: int, most: int, include_source: bool) -> DataFrame:
+    """(id, delta): Brandes' dependencies on k sources (id, at; at from 0, k at most WIDE), summed.
+
+    A vertex has one row in a level, with a column for each source, so an arc carries one row for all sources and sums meet by vertex;
+    the sources that have reached it are a mask of bits.  most: pairs (source, vertex) that can be reached; no round follows when all are.
+    Dependencies are looked up from the upper end of an arc, for the sources that have it on the level."""
+    names, bits = [f"p{j}" for j in range(k)], [F.expr(f"shiftleft(1L, {j})") for j in range(k)]
+    each = lambda f: [f(F.col(c), b).alias(c) for c, b in zip(names, bits)]
+    held = lambda df: df.hint("shuffle_hash")  # noqa: E731  # rows are wide but well packed: by the files' size they would be broadcast
+    masked = lambda parts: reduce(DataFrame.unionByName, [x.df.select("id", "bits") for x in parts]).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    summed = lambda parts: reduce(DataFrame.unionByName, [x.df.select("id", "delta") for x in parts]).groupBy("id").agg(F.sum("delta").alias("delta"))
+    counts = F.count("*").alias("n"), F.sum(F.bit_count("bits")).alias("reached")
+    start = sources.select("id", *[F.when(F.col("at") == j, 1.0).otherwise(0.0).alias(c) for j, c in enumerate(names)], F.expr("shiftleft(1L, int(at))").alias("bits"))
+    levels = [Stored(start, *counts)]
+    known, reached = list(levels), levels[0].seen["reached"]
+    while levels[-1].seen.get("n", 0) and reached < most:
+        if len(known) > Grown.MOST:
+            known = [Stored(masked(known))]
+        step = arcs.send(held(levels[-1].df.drop("bits"))).groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in names])
+        new = step.join(held(masked(known).withColumnRenamed("bits", "had")), "id", "left").withColumn("had", F.coalesce("had", F.lit(0)).cast("long"))
+        new = new.select("id", *each(lambda p, b: F.when(F.col("had").bitwiseAND(b) == 0, p).otherwise(0.0)))
+        mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(c) > 0, b).otherwise(F.lit(0).cast("long")) for c, b in zip(names, bits)])
+        levels.append(Stored(new.withColumn("bits", mask).where("bits <> 0"), *counts))
+        known.append(levels[-1])
+        reached += levels[-1].seen.get("reached") or 0
+    if not levels[-1].seen.get("n", 0):
+        levels.pop().drop()
+    done: list[Stored] = []
+    below = None
+    for own in reversed(levels):
+        if below is None:
+            rows = own.df.select("id", F.lit(0.0).alias("delta"), *[F.when(F.col(c) > 0, 1 / F.col(c)).otherwise(0.0).alias(c) for c in names])
+        else:
+            sent = arcs.send(held(own.df.select("id", "bits"))).withColumnRenamed("src", "to").join(held(below.df.drop("delta").withColumnRenamed("id", "dst")), "dst")
+            sent = sent.select("to", "n", *each(lambda u, b: F.when(F.col("bits").bitwiseAND(b) != 0, u).otherwise(0.0)))
+            up = sent.groupBy(F.col("to").alias("id")).agg(*[F.sum(F.col(c) * F.col("n")).alias(f"u{c}") for c in names])
+            both = own.df.join(held(up), "id", "left").select("id", *names, *[(F.col(c) * F.coalesce(f"u{c}", F.lit(0.0))).alias(f"d{c}") for c in names])
+            total = sum((F.col(f"d{c}") for c in names[1:]), F.col(f"d{names[0]}"))
+            rows = both.select("id", total.alias("delta"), *[F.when(F.col(c) > 0, (1 + F.col(f"d{c}")) / F.col(c)).otherwise(0.0).alias(c) for c in names])
+        below = Stored(rows)
+        own.drop()
+        if include_source or own is not levels[0]:
+            done.append(below)
+        if len(done) > Grown.MOST:
+            old, done = done, [Stored(summed(done))]
+            for x in old[:-1]:
+                x.drop()
+    return summed(done) if done else below.df.select("id", "delta")  # all 0
+
+
 #: Rows (source, vertex) that a batch of betweenness is meant to hold.
 REACHED = 1 << 22
 
@@ -194,6 +250,7 @@ def betweenness(g: PropertyGraph, sources: int | None = 256, directed: bool = Tr
 
     sources: how many (all if None or at least V), those with the smallest `draw`s of (id, seed).  Counts of shortest
     paths multiply parallel edges; loops are skipped.  include_source adds a source's own dependency.
+    Samples of up to 4 WIDE sources go WIDE at a time, a row for each vertex (`_dependencies`); else rows are (source, vertex) pairs.
     scale: "sampled" (V / k) / ((V - 1)(V - 2)), "half" V / k / 2, "exact" 2 / ((V - 1)(V - 2)), "none" 1.
     batch: sources of the first batch; the next ones are as many as reach about REACHED vertices, going by the batch before.
     With more than one batch dependencies are looked up from the upper end of an arc, so a hub that few sources reach doesn't
@@ -201,12 +258,21 @@ def betweenness(g: PropertyGraph, sources: int | None = 256, directed: bool = Tr
     arcs = Arcs(g.pairs(loops=False) if directed else g.mirrored().withColumn("n", F.lit(1).cast("long")))
     n = g.vertices.count()
     k = n if sources is None else min(sources, n)
+    wide = sources is not None and k <= 4 * WIDE
     few = k <= batch
-    back = arcs if not directed or not few else Arcs(arcs.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    back = arcs if wide or not directed or not few else Arcs(arcs.df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     chosen = cut(numbered(g.vertices.select("id", F.struct(draw("id", seed), F.col("id")).alias("_o")).orderBy("_o").limit(k), "_o", "at").select("id", "at"))
     scores = Grown(merge=lambda df: df.groupBy("id").agg(F.sum("delta").alias("delta")))
     scores.add(g.vertices.select("id", F.lit(0.0).alias("delta")).limit(0))
     first, size = 0, batch
+    if wide and k:
+        ends = Stored(arcs.df.select(F.col("dst").alias("id")).distinct(), F.count("*").alias("n"))
+        for first in range(0, k, min(batch, WIDE)):
+            own = chosen.where((F.col("at") >= first) & (F.col("at") < first + min(batch, WIDE))).select("id", (F.col("at") - first).alias("at"))
+            size = min(batch, WIDE, k - first)
+            scores.add(_dependencies(arcs, own, size, size * ends.seen.get("n", 0) + own.join(ends.df, "id", "left_anti").count(), include_source))
+        ends.drop()
+        first = k
     while first < k:
         seen, reached = Grown(), 0
         level = seen.add(chosen.where((F.col("at") >= first) & (F.col("at") < first + size)).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"), F.lit(0).alias("level")), F.count("*").alias("n"))

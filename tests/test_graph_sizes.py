@@ -45,6 +45,19 @@ def test_betweenness_does_not_offer_a_hub_to_all_its_predecessors(spark, monkeyp
     assert found.agg(F.sum("score")).first()[0] == 0.0 and sum(rows) <= 4 * 41
 
 
+def test_sampled_betweenness_sends_a_row_for_all_sources(spark, monkeypatch):
+    monkeypatch.setattr(Grown, "MOST", 2)  # levels are more than the parts that are kept apart
+    # a crowd, a path, a vertex that nothing reaches, parallel edges and a loop
+    g = graph(spark, [(0, 1, 1), (0, 2, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 1), (3, 4, 1), (4, 5, 1), (5, 6, 1), (7, 2, 1), (4, 4, 1)], 9)
+    score = lambda k, **o: {r["id"]: round(r["score"], 9) for r in structure.betweenness(g, k, include_source=False, scale="none", **o).collect()}
+    assert score(9, batch=7) == score(None)
+    rows, send = [], Arcs.send
+    crowd = graph(spark, [(a, b, 1) for a in range(16) for b in range(16)], 16)
+    monkeypatch.setattr(Arcs, "send", lambda self, df: (lambda out: rows.append(out.count()) or out)(send(self, df)))
+    assert structure.betweenness(crowd, 16, scale="none").agg(F.sum("score")).first()[0] == 16 * 15
+    assert sum(rows) <= 2 * 240
+
+
 def test_counted_paths_are_not_grouped(spark):
     g = graph(spark, [(0, 1, 1), (0, 1, 1), (1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)], 3)
     found = traverse.counted_paths(g, 2)
