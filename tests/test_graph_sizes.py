@@ -58,6 +58,27 @@ def test_sampled_betweenness_sends_a_row_for_all_sources(spark, monkeypatch):
     assert sum(rows) <= 2 * 240
 
 
+def moved(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_triangles_move_no_row_for_each_two_targets(spark):
+    size, last = 40, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    pairs = cut(graph(spark, [(a, size + b, 1) for a in range(size) for b in range(size)] + [(0, 1, 1)], 2 * size).undirected())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved(spark)
+        found = structure.triangles(pairs).collect()
+        assert sorted(map(tuple, found)) == [(0, 1, size + b) for b in range(size)]
+        assert moved(spark) - before < 8 * size * size  # of two targets there are 19 for each pair
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", last)
+
+
 def test_counted_paths_are_not_grouped(spark):
     g = graph(spark, [(0, 1, 1), (0, 1, 1), (1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)], 3)
     found = traverse.counted_paths(g, 2)
